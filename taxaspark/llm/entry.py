@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mix, secrets, url_filter
+from . import mix, ngram_join, secrets, url_filter
 from .common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_copies")
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mix.plan_mix(table(spark, sf_dir, "documents"))
     return planned.select("doc_id", "size", "source_size", "target", "taken")
@@ -32,7 +36,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mix": op2_mix, "op8_url_filter": op8_url_filter, "op10_secrets": op10_secrets}
+    return {"op1_ngram_join": op1_ngram_join, "op2_mix": op2_mix, "op8_url_filter": op8_url_filter, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
