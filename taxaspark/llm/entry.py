@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mix, ngram_join, packing, quality, secrets, url_filter
+from . import language, mix, ngram_join, packing, quality, secrets, url_filter
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join, "op2_mix": op2_mix, "op4_packing": op4_packing, "op7_quality": op7_quality, "op8_url_filter": op8_url_filter, "op10_secrets": op10_secrets}
+    return {"op1_ngram_join": op1_ngram_join, "op2_mix": op2_mix, "op3_language": op3_language, "op4_packing": op4_packing, "op7_quality": op7_quality, "op8_url_filter": op8_url_filter, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
