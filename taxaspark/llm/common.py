@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import ship
+
 #: A word is a run of characters outside these six.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]*"
@@ -52,7 +54,8 @@ class Scratch:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bounds the texts that a Python worker holds at once."""
+    """Bounds the texts that a Python worker holds at once, and sends workers this code."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
