@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mix, ngram_join, packing, quality, secrets, url_filter
+from . import language, lm, mix, ngram_join, packing, quality, secrets, topk, url_filter
 from .common import table
 
 
@@ -28,6 +28,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -49,11 +57,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join, "op2_mix": op2_mix, "op3_language": op3_language, "op4_packing": op4_packing, "op7_quality": op7_quality, "op8_url_filter": op8_url_filter, "op10_secrets": op10_secrets}
+    return {"op1_ngram_join": op1_ngram_join, "op2_mix": op2_mix, "op3_language": op3_language, "op4_packing": op4_packing, "op5_topk": op5_topk, "op6_lm_score": op6_lm_score, "op7_quality": op7_quality, "op8_url_filter": op8_url_filter, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": OP8_SQL}
+    return {"op5_topk": OP5_SQL, "op8_url_filter": OP8_SQL}
+
+
+OP5_SQL = r"""
+WITH flat AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+sound AS (SELECT vec_id FROM flat GROUP BY vec_id HAVING count(x) = count(*) AND bool_and(isfinite(x))),
+ints AS (SELECT vec_id, i, floor(64 * x)::BIGINT AS v FROM flat WHERE vec_id IN (SELECT vec_id FROM sound)),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sum(q.v * c.v)::BIGINT AS score FROM ints q JOIN ints c ON q.i = c.i AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id, c.vec_id),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r, vec_id, score FROM scores)
+SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 20
+"""
 
 
 OP8_SQL = r"""
