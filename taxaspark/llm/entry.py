@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lm, mix, ngram_join, packing, quality, secrets, topk, url_filter
+from . import chat, language, lm, mix, ngram_join, packing, quality, secrets, topk, url_filter
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(table(spark, sf_dir, "conversations"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     found = secrets.scan(docs, keep=["doc_id"])
@@ -57,7 +61,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join, "op2_mix": op2_mix, "op3_language": op3_language, "op4_packing": op4_packing, "op5_topk": op5_topk, "op6_lm_score": op6_lm_score, "op7_quality": op7_quality, "op8_url_filter": op8_url_filter, "op10_secrets": op10_secrets}
+    return {"op1_ngram_join": op1_ngram_join, "op2_mix": op2_mix, "op3_language": op3_language, "op4_packing": op4_packing, "op5_topk": op5_topk, "op6_lm_score": op6_lm_score, "op7_quality": op7_quality, "op8_url_filter": op8_url_filter, "op9_chat": op9_chat, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
