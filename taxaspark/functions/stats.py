@@ -185,7 +185,8 @@ def correlations(rows: DataFrame, keys: list[str], pairs: dict[str, tuple[str, s
         out = out.withColumn(f"_v_{c}", average_rank(keys, c) if method == "spearman" else F.col(c).cast("double"))
     aggs = [F.count(F.lit(1)).alias("n")] + [F.count_distinct(c).alias(f"_d_{c}") for c in names]
     for name, (x, y) in pairs.items():
-        aggs.append(F.corr(f"_v_{x}", f"_v_{y}").alias(name))
+        spread = F.stddev_pop(f"_v_{x}") * F.stddev_pop(f"_v_{y}")  # 0 if either side is constant, which corr() raises for
+        aggs.append(F.try_divide(F.covar_pop(f"_v_{x}", f"_v_{y}"), spread).alias(name))
     got = out.groupBy(*keys).agg(*aggs)
     for name, (x, y) in pairs.items():
         got = got.withColumn(f"{name}_ties", (F.col(f"_d_{x}") < F.col("n")) | (F.col(f"_d_{y}") < F.col("n")))
@@ -240,7 +241,7 @@ def p_adjust(rows: DataFrame, p: str = "pvalue", out: str = "padj", method: str
     if method == "none":
         return rows.withColumn(out, F.col(p))
     if method == "bonferroni":
-        return rows.withColumn(out, F.least(F.lit(1.0), F.col(p) * n))
+        return rows.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * n)))
     there = rows.withColumn("_n", n).withColumn("_i", F.row_number().over(every.orderBy(F.col(p).asc_nulls_last())))
     up = every.orderBy(F.col("_i").desc()).rowsBetween(W.unboundedPreceding, 0)
     down = every.orderBy("_i").rowsBetween(W.unboundedPreceding, 0)

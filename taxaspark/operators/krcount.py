@@ -19,10 +19,9 @@ from .taxonomy import closure, filter_taxonomy, lineage_columns
 TAXONOMY = ("D__Bacteria", "D__Fungi", "D__Viruses")
 
 
-def sound_reads(reads: DataFrame) -> DataFrame:
-    """Reads of good quality that aren't made of one letter; each mate on its own."""
-    mates = F.split("seq", " ")
-    return reads.where(quality_ok(F.col("qual")) & F.forall(mates, lambda s: complexity_ok(s)))
+def sound() -> Column:
+    """Whether a read is of good quality and isn't made of one letter; each mate on its own."""
+    return quality_ok(F.col("qual")) & F.forall(F.split("seq", " "), lambda s: complexity_ok(s))
 
 
 def _tag(reads: DataFrame, name: str | None, column: Column) -> Column:
@@ -46,9 +45,10 @@ def krcount(
     known = filter_taxonomy(report, taxonomy) if taxonomy else report
     pairs = closure(known)
     taxa = pairs.select("taxid").distinct()
-    # only what is kept is parsed: a malformed list of a read that falls to a filter doesn't raise
-    good = sound_reads(reads).join(taxa, "taxid", "left_semi")
-    rows = good.select("taxid", _tag(good, barcode_tag, F.col("tags")).alias("barcode"), _tag(good, umi_tag, F.col("tags")).alias("umi"), read_kmers(F.col("seq"), F.col("lca")).alias("kmers"))
+    good = reads.where(sound()).join(taxa, "taxid", "left_semi")
+    # a malformed list of a read that falls to a filter doesn't raise, in whatever order filters end up
+    parsed = F.when(sound(), read_kmers(F.col("seq"), F.col("lca")))
+    rows = good.select("taxid", _tag(good, barcode_tag, F.col("tags")).alias("barcode"), _tag(good, umi_tag, F.col("tags")).alias("umi"), parsed.alias("kmers"))
     sums = rows.groupBy("barcode", "taxid").agg(F.count(F.lit(1)).alias("reads"), F.sum(F.size("kmers")).alias("kmer_total"))
     up = lambda df: df.join(pairs, "taxid").drop("taxid").withColumnRenamed("ancestor", "taxid")
     out = up(sums).groupBy("barcode", "taxid").agg(F.sum("reads").alias("reads"), F.sum("kmer_total").cast("bigint").alias("kmer_total"))
