@@ -13,9 +13,8 @@ the rest of the set's segments outweigh H. Since all sets write all their non-em
 such set in a pair is enough for the pair to be met elsewhere. Only sets whose rest is too light
 ("deficient": members of large groups of near copies, or made of common passages) keep their common
 segments, and a pair is met in those only if both are deficient. Such a bucket isn't expanded into
-pairs: each member is measured against one pivot, members linked to it are settled, and by the
-triangle inequality of the Jaccard distance only members within twice the allowed distance of the
-pivot can link to a settled one. What remains goes round again with another pivot.
+pairs: each member is measured against a pivot, in a few rounds, until links join most of it; then
+members of different components meet in blocks within a task, and only pairs that can be links come out.
 
 Every link is verified on the sets themselves, after odd sketches (parities of hashed shingles, a
 lower bound of the difference) have thrown out distant pairs. Shingles and sets are identified by
@@ -45,6 +44,8 @@ N = 5
 PERCENT = 80
 #: More sets than this at one subset make it common.
 LIMIT = 8
+#: Rounds of pivots for common buckets, the members that must be left for another round, and the members of a block.
+PIVOTS, PIVOT_ABOVE, BLOCK = 2, 64, 1024
 #: Ids of needed texts are broadcast up to this many (8 bytes each); above, they are joined by shuffle.
 FEW_IDS = 1_000_000
 U64 = np.uint64
@@ -284,6 +285,55 @@ def _far(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([b.column(k) for k in ("a", "b", "ra", "rb", "na", "nb")] + [pa.array(bound, pa.int64())], names=["a", "b", "ra", "rb", "na", "nb", "least"])
 
 
+def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows come by meeting of blocks; a meeting is held whole (two blocks at most). Yields the pairs that sketches can't tell apart."""
+
+    def groups() -> Iterator[list[pa.RecordBatch]]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            meet = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(meet[1:] != meet[:-1]) + 1).tolist(), len(meet)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if y > x:
+                    if held and meet[x] != last:
+                        yield held
+                        held = []
+                    held.append(b.slice(x, y - x))
+                    last = meet[x]
+        if held:
+            yield held
+
+    for parts in groups():
+        sid, label, n, side = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (1, 2, 3, 4))
+        raw = [x for p in parts for x in p.column(5).to_pylist()]
+        size = min(map(len, raw))
+        rows = []
+        for x in raw:
+            v = np.frombuffer(x, np.uint8)
+            while len(v) > size:
+                v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+            rows.append(v)
+        bits = np.stack(rows).view(np.uint64)
+        first, second = (np.flatnonzero((side & 3 == k) | (side & 3 == 2)) for k in (0, 1))
+        probe = side >= 4
+        out = []
+        for at in range(0, len(first), 256):
+            i = first[at : at + 256]
+            apart = np.zeros((len(i), len(second)), np.int32)
+            for w in range(bits.shape[1]):
+                apart += np.bitwise_count(bits[i, w][:, None] ^ bits[second, w][None, :])
+            a, b = n[i][:, None], n[second][None, :]
+            ok = (apart <= allowed(a, b, percent)) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent)
+            ok &= (label[i][:, None] != label[second][None, :]) & ~(probe[i][:, None] & probe[second][None, :])
+            x, y = np.nonzero(ok)
+            out.append((sid[i[x]], sid[second[y]]))
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+        if len(a):
+            ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
+
+
 def _verifier(n: int, seed: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -368,38 +418,52 @@ class NgramJoin:
         ).distinct()
         lost = F.sum("weight").over(W.partitionBy("sid", "probe"))
         bucket = keep(hot.withColumn("lost", lost).where("lost > slack - 1").select("sig", "sid", "probe"))
-        rest = 100 - self.percent
-        while True:
-            # a bucket that one component fills, or that has a single member or only probing ones, is settled
-            labels = self.components(found)
-            labelled = bucket.join(labels.select("sid", "label"), "sid", "left").withColumn("label", F.coalesce("label", F.concat(F.lit("s"), F.col("sid").cast("string"))))
-            per = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.when(F.col("probe") == 0, F.col("sid"))).alias("pivot"), F.count(F.lit(1)).alias("members"))
-            per = per.where("lo <> hi and pivot is not null")
-            bucket = keep(labelled.join(per.select("sig", "pivot", "members"), "sig"))
-            if bucket.limit(1).count() == 0:
-                return found
-            few = bucket.where(F.col("members") <= LIMIT)
-            x = few.select("sig", F.col("sid").alias("a"), F.col("label").alias("la"))
-            y = few.select("sig", F.col("sid").alias("b"), F.col("label").alias("lb"))
-            direct = x.join(y, "sig").where("a < b and la <> lb").select("a", "b").distinct()
-            many = bucket.where(F.col("members") > LIMIT)
-            star = many.where("sid <> pivot").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
-            measured = keep(self._measured(star.union(direct).distinct()))
-            fresh = keep(self._new_links(measured))
-            found = keep(found.union(fresh).distinct())
-            # distances to the pivot: linked (0), at most twice the allowed one (1), or farther (2)
-            least = F.col("least")
-            twice = least * 100 <= 2 * rest * (F.col("na") + F.col("nb") + least) / 2
-            state = measured.join(fresh.select("a", "b", F.lit(True).alias("linked")), ["a", "b"], "left").select("a", "b", F.when(F.col("linked"), 0).when(twice, 1).otherwise(2).alias("state"))
-            both = state.select("a", "b", "state").union(state.select("b", "a", "state")).toDF("sid", "pivot", "state")
-            many = keep(many.drop("label").join(both, ["sid", "pivot"], "left").withColumn("state", F.when(F.col("sid") == F.col("pivot"), 0).otherwise(F.col("state"))))
+        if bucket.limit(1).count() == 0:
+            return found
+        labels, pivots = None, None
+        for _ in range(PIVOTS):
+            rows = self._labelled(bucket, labels)
+            if pivots is not None:  # a component that holds an earlier pivot of the bucket is settled
+                settled = self._labelled(pivots.select("sig", F.col("pivot").alias("sid")), labels).select("sig", "label").distinct()
+                rows = rows.join(settled, ["sig", "label"], "left_anti")
+            per = rows.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("size"), F.min(F.when(F.col("probe") == 0, F.col("sid"))).alias("pivot"))
+            per = per.groupBy("sig").agg(F.sum("size").alias("left"), F.max_by("pivot", F.struct(F.col("pivot").isNotNull(), "size", "pivot")).alias("pivot"))
+            new = keep(per.where(F.col("pivot").isNotNull() & (F.col("left") > (1 if pivots is None else PIVOT_ABOVE))).select("sig", "pivot"))
+            if pivots is not None and new.limit(1).count() == 0:
+                break
+            star = rows.join(new, "sig").where("sid <> pivot").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
+            found = keep(found.union(self._new_links(keep(self._measured(star)))).distinct())
             labels = self.components(found)
-            tagged = many.join(labels.select("sid", "label"), "sid", "left").withColumn("label", F.coalesce("label", F.concat(F.lit("s"), F.col("sid").cast("string"))))
-            close = tagged.where("state = 1").select("sig", F.col("sid").alias("x"), F.col("label").alias("lx"))
-            settled = tagged.where("state = 0").select("sig", F.col("sid").alias("y"), F.col("label").alias("ly"))
-            across = close.join(settled, "sig").where("lx <> ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            pivots = new if pivots is None else keep(pivots.union(new))
+        across = keep(self._across(self._labelled(bucket, labels)))
+        if across.limit(1).count():
             found = keep(found.union(self._new_links(keep(self._measured(across)))).distinct())
-            bucket = keep(many.where("state > 0").select("sig", "sid", "probe"))
+        return found
+
+    def _across(self, rows: DataFrame) -> DataFrame:
+        """(a, b) of buckets that hold several components: pairs of different ones whose sketches leave a link possible.
+
+        Buckets are cut into blocks, and members meet block by block within a task; only possible links come out.
+        """
+        per = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.col("probe") == 0).alias("held"), F.count(F.lit(1)).alias("members")).where("lo <> hi and held")
+        blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
+        rows = rows.join(per.select("sig", blocks.alias("blocks")), "sig")
+        mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+        rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.join(self.reps.select("sid", "n", "sketch"), "sid")
+        meet = F.xxhash64("sig", F.least("mine", "other"), F.greatest("mine", "other"))
+        left = F.when(F.col("mine") < F.col("other"), 0).when(F.col("mine") > F.col("other"), 1).otherwise(2)
+        side = (left + F.col("probe").cast("int") * 4).cast("int")
+        rows = rows.select(meet.alias("meet"), "sid", F.xxhash64("label").alias("label"), "n", side.alias("side"), "sketch")
+        percent = self.percent
+        return rows.repartition("meet").sortWithinPartitions("meet").mapInArrow(lambda b: _possible(b, percent), "a bigint, b bigint").distinct()
+
+    @staticmethod
+    def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+        own = F.concat(F.lit("s"), F.col("sid").cast("string"))
+        if labels is None:
+            return rows.withColumn("label", own)
+        return rows.join(labels.select("sid", "label"), "sid", "left").withColumn("label", F.coalesce("label", own))
 
     def components(self, links: DataFrame) -> DataFrame:
         """(sid, rep, label): for each class in a link, the smallest document of its component, by large-star and small-star rounds."""
