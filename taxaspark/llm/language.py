@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import textnum
 from .common import hash_key, small_batches
@@ -202,7 +203,7 @@ def predict(docs: DataFrame, model, keep: list[str], text: str = "text") -> Data
     small_batches(docs.sparkSession)
     langs, w, bias, idf, t = model
     kept = docs.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["lang_pred string", "score double"])
+    schema = StructType([*kept.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     weights = docs.sparkSession.sparkContext.broadcast((np.ascontiguousarray(w), idf))  # DIMS x LANGUAGES numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,6 +225,13 @@ def predict(docs: DataFrame, model, keep: list[str], text: str = "text") -> Data
     return kept.mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, least: float) -> DataFrame:
+    """The rows of `docs`, with their columns, whose language is told with a score of `least` or more."""
+    rows = docs.select("text", F.struct(*docs.columns).alias("_row"))
+    found = predict(rows, train(docs), ["_row"]).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return found.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     found = predict(docs, train(docs), ["doc_id"])

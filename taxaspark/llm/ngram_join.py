@@ -494,5 +494,12 @@ class NgramJoin:
         return linked.unionByName(alone)
 
 
+    def representatives(self, docs: DataFrame) -> DataFrame:
+        """The rows of `docs` whose document is the smallest of its component. Rows of one id are one document, and rows without id stay."""
+        kept = self.classes().where("doc_id = component_id").select("doc_id").distinct()
+        found = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        return found.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     return NgramJoin(docs, n, percent).classes()

@@ -77,13 +77,11 @@ def ownership(found: DataFrame, owner: str = "source", repository: str = "doc_id
     return by_owner.groupBy("value_hash").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def scan(docs: DataFrame, keep: list[str] | None = None, text: str = "text", owner: str = "source", repository: str = "doc_id", most_owners: int = MOST_OWNERS) -> DataFrame:
-    """One row per row of `docs`: the columns `keep` (default: all), base (array of spans) and marked (all spans that stay, each live or not).
+_MARKED = "array<struct<start: bigint, kind: int, end: bigint, value: string, live: boolean>>"
 
-    A candidate of more than `most_owners` owners is an example, the others look live; base candidates stay all the same.
-    The candidates are written to the shared folder once, so the texts are matched once.
-    """
-    names = docs.columns if keep is None else keep
+
+def _scan(docs: DataFrame, names: list[str], text: str, owner: str, repository: str, most_owners: int) -> DataFrame:
+    """_row (a struct of the columns `names`), base and marked; candidates are written to the shared folder once, so the texts are matched once."""
     carried = docs.select(F.struct(*names).alias("_row"), F.col(text).alias("_text"), F.col(owner).alias("_owner"), F.col(repository).alias("_repo"))
     found = find_candidates(carried, "_text").drop("_text").withColumn("_id", F.monotonically_increasing_id())
     found = Scratch(docs.sparkSession).keep(found)
@@ -93,10 +91,19 @@ def scan(docs: DataFrame, keep: list[str] | None = None, text: str = "text", own
     spans = some.select("_id", F.explode(F.concat("base", "opaque")).alias("_s")).withColumn("value_hash", F.xxhash64("_s.value"))
     verdicts = spans.join(counts, "value_hash").select("_id", F.struct("_s.start", "_s.kind", "_s.end", "_s.value", (F.col("n_owners") <= most_owners).alias("live")).alias("_s"))
     marked = verdicts.where((F.col("_s.kind") < 3) | F.col("_s.live")).groupBy("_id").agg(F.array_sort(F.collect_list("_s")).alias("marked"))
-    kind = "array<struct<start: bigint, kind: int, end: bigint, value: string, live: boolean>>"
-    empty = F.array().cast(kind)
-    out = some.join(marked, "_id", "left").select("_row", "base", F.coalesce("marked", empty).cast(kind).alias("marked"))
-    out = out.unionByName(found.where(none).select("_row", "base", empty.alias("marked")))
+    empty = F.array().cast(_MARKED)
+    out = some.join(marked, "_id", "left").select("_row", "base", F.coalesce("marked", empty).cast(_MARKED).alias("marked"))
+    return out.unionByName(found.where(none).select("_row", "base", empty.alias("marked")))
+
+
+def scan(docs: DataFrame, keep: list[str] | None = None, text: str = "text", owner: str = "source", repository: str = "doc_id", most_owners: int = MOST_OWNERS) -> DataFrame:
+    """One row per row of `docs`: the columns `keep` (default: all), base (array of spans) and marked (all spans that stay, each live or not).
+
+    A candidate of more than `most_owners` owners is an example, the others look live; base candidates stay all the same.
+    Columns of `docs` named base or marked give way to the result's.
+    """
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("base", "marked")]
+    out = _scan(docs, names, text, owner, repository, most_owners)
     return out.select(*[F.col("_row")[c].alias(c) for c in names], "base", "marked")
 
 
@@ -106,19 +113,23 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(scanned: DataFrame, columns: list[str], text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """`columns` of the scanned rows, with every marked span of the text replaced; overlapping spans are replaced as one."""
-    spans = F.col("marked")
+def redact(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", most_owners: int = MOST_OWNERS, mark: str = "[SECRET]") -> DataFrame:
+    """`docs` with every marked span of the text replaced, and n_chars, if there, to match; overlapping spans are replaced as one."""
+    names = docs.columns
+    found = _scan(docs, names, text, owner, repository, most_owners)
+    body, spans = F.col("_row")[text], F.col("marked")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        gap = F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        gap = F.substring(body, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-    tail = lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text)))
-    clean = F.when(F.size(spans) > 0, F.aggregate(spans, start, step, tail)).otherwise(F.col(text))
-    out = scanned.withColumn(text, clean)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length(text)).otherwise(F.col("n_chars")).cast(dict(scanned.dtypes)["n_chars"]))
-    return out.select(*columns)
+    tail = lambda acc: F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), F.length(body)))
+    some = F.size(spans) > 0
+    found = found.withColumn("_clean", F.when(some, F.aggregate(spans, start, step, tail)).otherwise(body))
+    out = {c: F.col("_row")[c] for c in names}
+    out[text] = F.col("_clean")
+    if "n_chars" in out:
+        out["n_chars"] = F.when(some, F.length("_clean")).otherwise(out["n_chars"]).cast(dict(docs.dtypes)["n_chars"])
+    return found.select(*[v.alias(k) for k, v in out.items()])

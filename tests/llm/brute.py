@@ -41,3 +41,32 @@ def near_duplicates(docs, n=5, percent=80):
     for i, (d, _) in enumerate(sets):
         least[root(i)] = min(least[root(i)], d)
     return sorted((d, len(s), least[root(i)]) for i, (d, s) in enumerate(sets))
+
+
+def quality_counts(text):
+    """Words, their characters, symbols, lines with a word, those seen before, and words in runs of three that recur."""
+    text = text or ""
+    words = WORD.findall(text)
+    seen, lines, dup = set(), 0, 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            lines += 1
+            dup += line in seen
+            seen.add(line)
+    runs = defaultdict(list)
+    for i in range(len(words) - 2):
+        runs[tuple(words[i : i + 3])].append(i)
+    covered = {i + k for at in runs.values() if len(at) > 1 for i in at for k in range(3)}
+    return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), lines, dup, len(covered)
+
+
+KINDS = [
+    ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+    ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+]
+
+
+def base_spans(text):
+    found = [(m.start(), k, m.end(), name) for k, (name, p, ok) in enumerate(KINDS) for m in p.finditer(text or "") if ok(m)]
+    return ",".join(f"{name}:{a}:{b}" for a, _, b, name in sorted(found))
