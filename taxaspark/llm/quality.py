@@ -33,7 +33,7 @@ LEAST = 200
 RATIOS = {
     "word_length": ("word_chars", "n_words", 1.0),
     "symbols": ("n_symbols", "n_words", 0.1),
-    "dup_lines": ("n_dup_lines", "n_lines", 0.3),
+    "dup_lines": ("n_dup_lines", "n_lines", 0.5),
     "repeats": ("n_repeat_words", "n_words", 0.3),
 }
 _SYMBOL = np.zeros(256, bool)
