@@ -140,3 +140,15 @@ def test_rank_order(spark):
     df = spark.createDataFrame([(r,) for r in ("S1", "S", "G", "X", "R2", "R1", "D", "U", "R", "S10", "X1", "K")], "r string")
     assert [r[0] for r in df.orderBy(taxonomy.rank_key(F.col("r")), "r").collect()] == ["U", "R", "R1", "R2", "D", "K", "G", "S", "S1", "S10", "X", "X1"]
     assert isinstance(combine(seq_range(1)), SeqRanges)
+
+
+def test_lists(spark):
+    from taxaspark.functions import lists
+
+    df = spark.createDataFrame([(["a", "b", "c"], "x.y")], "v array<string>, t string")
+    v, t = F.col("v"), F.col("t")
+    got = df.select(
+        lists.gather(v, F.array(F.lit(2), F.lit(0), F.lit(9))), lists.get(v, 1), lists.get(v, 7), lists.first(v), lists.last(v), lists.get(v, -4),
+        lists.contains_any(v, ["q", "c"]), lists.text_contains_any(t, ["q", "."]), lists.text_contains_any(t, ["xy"]),
+    ).first()
+    assert tuple(got) == (["c", "a", None], "b", None, "a", "c", None, True, True, False)
