@@ -101,10 +101,12 @@ def link(messages: DataFrame) -> DataFrame:
     quoted = quoted.withColumn("_x", _norm(F.col("_q.body"))).where("_x <> ''").select("conv_id", "_at", F.xxhash64("_x").alias("_hash"), F.lit(False).alias("_source"), "_id", F.length("_x").alias("_size"))
     met = latest_before(originals.unionByName(quoted), ["conv_id", "_hash"], "_at", "_source", "_to").where("not _source and _to is not null")
     votes = met.groupBy("_id", "_to").agg(F.sum("_size").alias("_weight")).groupBy("_id").agg(F.max(F.struct("_weight", "_to")).alias("_best"))
-    named = parsed.join(votes.select("_id", F.col("_best._to").alias("_linked")), "_id", "left").withColumn("_true", F.lit(True))
+    # order and parents are found on ids and turns; the messages' text is joined to them once
+    named = parsed.select("_id", "conv_id", "_at", F.lit(True).alias("_true"))
     placed = positions(latest_before(named, ["conv_id"], "_at", "_true", "_last"), "conv_id", "_at", "_id", "position")
+    placed = placed.select("_id", "_last", "position").join(votes.select("_id", F.col("_best._to").alias("_linked")), "_id", "left")
     parent = F.coalesce("_linked", "_last")
-    return placed.select(
+    return parsed.join(placed, "_id").select(
         "conv_id", "turn", "role", "position", F.when(parent != _FIRST, parent).alias("parent_turn"), F.col("_linked").isNotNull().alias("quotes"),
         F.size("_quoted").cast("bigint").alias("n_quoted"), F.coalesce(F.array_max(F.transform("_quoted", lambda x: x["depth"])), F.lit(0)).cast("bigint").alias("levels"),
         "message", F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("message"), F.lit("\n")).alias("formatted"),
