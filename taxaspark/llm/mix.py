@@ -72,11 +72,19 @@ def _plan(sized: DataFrame, weights: tuple[int, ...], share: float, most: int, s
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The mixed rows, with the columns of `docs`: each row as often as it is taken, the last of a budget cut after its last taken word."""
     names = docs.columns
-    sized = docs.withColumn("_row", F.struct(*names)).select("doc_id", "source", words_of(F.col("text")).alias("size"), "_row")
-    planned = _plan(sized, weights, share, most, seed)
+    # the plan is made on ids and sizes; texts are shuffled once, to meet it. Rows of one id and text share its takes, in any order
+    same = W.partitionBy("_id", "_hash").orderBy("_hash")
+    key = F.coalesce("doc_id", F.lit(0))
+    digest = F.xxhash64(F.col("doc_id").isNull(), "source", "text")
+    sized = docs.select(key.alias("_id"), digest.alias("_hash"), words_of(F.col("text")).alias("size"), "source", "doc_id")
+    planned = _plan(sized, weights, share, most, seed).select("_id", "_hash", "size", "epochs", "taken").withColumn("_n", F.row_number().over(same))
+    rows = docs.select(F.struct(*names).alias("_row"), key.alias("_i"), digest.alias("_h"))
+    rows = rows.withColumn("_m", F.row_number().over(W.partitionBy("_i", "_h").orderBy("_h")))
+    # the row's number isn't a key of the join, so that the windows' partitioning serves it
+    planned = rows.join(planned.where("taken > 0"), (F.col("_i") == F.col("_id")) & (F.col("_h") == F.col("_hash")) & (F.col("_n") - F.col("_m") == 0))
     part = F.col("taken") - F.col("epochs") * F.col("size")
     takes = F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), F.when((part > 0), F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    rows = planned.where("taken > 0").select("_row", "size", F.explode(takes).alias("_words"))
+    rows = planned.select("_row", "size", F.explode(takes).alias("_words"))
     pieces = F.regexp_extract_all(F.col("_row.text"), F.lit(GAP + WORD), F.lit(0))
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_words").cast("int")), "")
     short = F.col("_words") < F.col("size")
