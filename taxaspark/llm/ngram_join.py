@@ -365,7 +365,7 @@ class NgramJoin:
         self.spark = docs.sparkSession
         self.docs, self.n, self.percent = docs.select("doc_id", "text"), n, percent
         self.scratch = Scratch(self.spark)
-        small_batches(self.spark, 4000)
+        small_batches(self.spark, 1000)
         for self.seed in range(5):
             self._index()
             if not self.reps.where("bad").limit(1).count():
