@@ -3,9 +3,10 @@
 Vocabulary: the `NAMED` most frequent words of the corpus (counted over all texts) and buckets for the
 rest by hash. The network adds one embedding per place of a window of `SIDE` words on either side,
 takes tanh and gives a softmax over the vocabulary. It is trained with numpy where the text lies: in
-each round every task starts from the same weights, steps through its share of the corpus (texts of
-the round's hash class, so the share follows the input), and sends its weights and word count; the
-sums over groups of tasks are averaged into the next round's weights. A document's score is the sum
+each round every task starts from the same weights, steps through its share of the corpus (rows of
+the round's hash class; the rounds together hold every row once, and copies are dealt to rounds apart by
+their ids), and sends its weights and word count; the sums over groups of tasks are averaged into the
+next round's weights. A document's score is the sum
 of the log-probabilities of all its words, each predicted from its neighbours in the whole text.
 
 Null, empty and blank texts have no words and score 0. Repeated rows score alike. An empty table gives
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
@@ -27,7 +28,7 @@ from .common import small_batches
 
 NAMED, BUCKETS = 192, 63
 SIDE, HIDDEN = 2, 16
-ROUNDS, SHARE = 3, 48
+ROUNDS = SHARE = 3  # as many rounds as shares: no row is left out
 BATCH, RATE = 512, 0.5
 _EDGE = NAMED + BUCKETS  # beyond either end of the text
 _VOCAB = NAMED + BUCKETS
@@ -109,7 +110,7 @@ def hidden(w: Weights, around: np.ndarray) -> np.ndarray:
     return np.tanh(h, out=h)
 
 
-def log_probabilities(w: Weights, ids: np.ndarray, around: np.ndarray, rows: int = 8192) -> np.ndarray:
+def log_probabilities(w: Weights, ids: np.ndarray, around: np.ndarray, rows: int = 2048) -> np.ndarray:
     out = np.empty(len(ids))
     for a in range(0, len(ids), rows):
         s = hidden(w, around[a : a + rows]) @ w["u"] + w["d"]
@@ -131,14 +132,24 @@ def step(w: Weights, g2: Weights, ids: np.ndarray, around: np.ndarray) -> None:
     p[np.arange(n), ids] -= 1
     p /= n
     back = (p @ w["u"].T) * (1 - h * h)
-    grads = {"u": h.T @ p, "d": p.sum(0), "b": back.sum(0), "e": np.empty_like(w["e"])}
-    for k in range(around.shape[1]):
-        one = np.zeros((n, _VOCAB + 1), "f4")
-        one[np.arange(n), around[:, k]] = 1
-        grads["e"][k] = one.T @ back
-    for k, g in grads.items():
-        g2[k] += g * g
-        w[k] -= RATE * g / (np.sqrt(g2[k]) + 1e-4)
+    grads = {"u": h.T @ p, "d": p.sum(0), "b": back.sum(0)}
+    for k in ("u", "d", "b"):
+        g2[k] += grads[k] * grads[k]
+        w[k] -= RATE * grads[k] / (np.sqrt(g2[k]) + 1e-4)
+    # embeddings: only rows that the batch holds have a gradient
+    at = (around + np.arange(around.shape[1]) * (_VOCAB + 1)).T.ravel()
+    order = np.argsort(at, kind="stable")
+    held = at[order]
+    firsts = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    g, rows = np.add.reduceat(back[order % n], firsts, axis=0), held[firsts]
+    e, e2 = w["e"].reshape(-1, HIDDEN), g2["e"].reshape(-1, HIDDEN)
+    e2[rows] += g * g
+    e[rows] -= RATE * g / (np.sqrt(e2[rows]) + 1e-4)
+
+
+def round_of(columns: list[str], share: int = SHARE) -> Column:
+    """The round that a row is trained in, by all its columns, so copies of a text with other ids are dealt apart."""
+    return F.pmod(F.xxhash64(*columns), F.lit(share))
 
 
 def train(docs: DataFrame, named: np.ndarray, rounds: int = ROUNDS, share: int = SHARE) -> Weights:
@@ -173,7 +184,7 @@ def train(docs: DataFrame, named: np.ndarray, rounds: int = ROUNDS, share: int =
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n])], names=["w", "n"])
 
-        chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == k).select("text")
+        chosen = docs.where(round_of(docs.columns, share) == k).select("text")
         sums = chosen.mapInArrow(learn, "w binary, n bigint").repartition(16).mapInArrow(add, "w binary, n bigint").collect()  # 16 rows at most
         n = sum(r["n"] for r in sums)
         if n:
@@ -185,7 +196,7 @@ def score(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, n_words, score (summed log-probability) and mean_score (per word)."""
     spark = docs.sparkSession
     named = vocabulary(docs)
-    sent = spark.sparkContext.broadcast((pack(train(docs, named)), named))
+    sent = spark.sparkContext.broadcast((pack(train(docs.select(*keep, "text"), named)), named))
     kept = docs.select(*keep, "text")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["n_words bigint", "score double", "mean_score double"])
 

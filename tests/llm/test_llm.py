@@ -287,6 +287,18 @@ def test_lm_learns(spark, odd, none):
     assert lm.score(none).count() == 0
 
 
+def test_lm_trains_on_every_text(spark):
+    rows = [(i, f"text {i}") for i in range(300)] + [(1000 + i, "copy of one text") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rounds = {r["doc_id"]: r["k"] for r in df.select("doc_id", lm.round_of(df.columns).alias("k")).collect()}
+    assert len(rounds) == len(rows) and set(rounds.values()) == set(range(lm.ROUNDS))
+    assert {rounds[1000 + i] for i in range(300)} == set(range(lm.ROUNDS))  # copies share no fate
+    named = lm.vocabulary(df)
+    for text in ("text 0", "copy of one text"):  # with the production constants, one text is always learned from
+        one = spark.createDataFrame([(i, text) for i in range(2)], "doc_id long, text string")
+        assert (lm.pack(lm.train(one, named)) != lm.pack(lm.start())).any()
+
+
 def test_lm_gradient():
     rnd = np.random.default_rng(1)
     w = lm.start()
