@@ -1,8 +1,11 @@
 """Masked pseudo-likelihood: a small network guesses every word from the words on both sides.
 
-Vocabulary: the `NAMED` most frequent words of the corpus (counted over all texts) and buckets for the
-rest by hash. The network adds one embedding per place of a window of `SIDE` words on either side,
-takes tanh and gives a softmax over the vocabulary. It is trained with numpy where the text lies: in
+Vocabulary: every word of the corpus. The network's classes are the `NAMED` most frequent words
+(counted over all texts) and buckets for the rest by hash; a word of a bucket has the bucket's
+probability times the word's share of the bucket's count, so each word has a probability of its own
+and all words' add up to one, while the context has a say in the bucket only. Counts of the `SENT` most
+frequent words are sent to the tasks; all rarer words meet their counts in a join. The network adds one embedding per place of a window of `SIDE` words on either side,
+takes tanh and gives a softmax over the classes. It is trained with numpy where the text lies: in
 each round every task starts from the same weights, steps through its share of the corpus (rows of
 the round's hash class; the rounds together hold every row once, and copies are dealt to rounds apart by
 their ids), and sends its weights and word count; the sums over groups of tasks are averaged into the
@@ -24,9 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import small_batches
+from .common import Scratch, small_batches
 
 NAMED, BUCKETS = 192, 63
+SENT = 1 << 16
 SIDE, HIDDEN = 2, 16
 ROUNDS = SHARE = 3  # as many rounds as shares: no row is left out
 BATCH, RATE = 512, 0.5
@@ -46,11 +50,44 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the most frequent words, the most frequent first."""
+    top = counts.orderBy(F.desc("n"), "word").limit(most).toArrow()
+    return top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
+
+
 def vocabulary(docs: DataFrame) -> np.ndarray:
     """Hashes of the named words, the most frequent first."""
     small_batches(docs.sparkSession)
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(NAMED).collect()
-    return np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    return most_frequent(word_counts(docs), NAMED)[0]
+
+
+def bucket_counts(counts: DataFrame, named: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The count of each bucket: of all its words but the named ones."""
+    bucket = F.pmod(F.shiftrightunsigned("word", 40), F.lit(BUCKETS))
+    out = np.zeros(BUCKETS, np.int64)
+    for r in counts.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect():  # `BUCKETS` rows at most
+        out[r["bucket"]] = r["n"]
+    np.subtract.at(out, ((named >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64), n)
+    return out
+
+
+class Shares:
+    """Log of a word's share of its class; of words that were not sent, without their own count, and which those are."""
+
+    def __init__(self, sent: np.ndarray, n: np.ndarray, buckets: np.ndarray):
+        order = np.argsort(sent)
+        self.sent, self.logs = sent[order], np.log(n[order])
+        self.totals = np.concatenate([np.zeros(NAMED), np.log(np.maximum(buckets, 1))])
+
+    def __call__(self, hashed: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out, rare = -self.totals[ids], ids >= NAMED
+        if len(self.sent):
+            at = np.minimum(np.searchsorted(self.sent, hashed), len(self.sent) - 1)
+            hit = rare & (self.sent[at] == hashed)
+            out[hit] += self.logs[at[hit]]
+            rare &= ~hit
+        return out, rare
 
 
 class Encoder:
@@ -194,22 +231,32 @@ def train(docs: DataFrame, named: np.ndarray, rounds: int = ROUNDS, share: int =
 
 def score(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, n_words, score (summed log-probability) and mean_score (per word)."""
-    spark = docs.sparkSession
-    named = vocabulary(docs)
-    sent = spark.sparkContext.broadcast((pack(train(docs.select(*keep, "text"), named)), named))
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    small_batches(spark)
+    counts = scratch.keep(word_counts(docs))
+    common, n = most_frequent(counts, max(NAMED, SENT))
+    named, buckets = common[:NAMED], bucket_counts(counts, common[:NAMED], n[:NAMED])
     kept = docs.select(*keep, "text")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["n_words bigint", "score double", "mean_score double"])
+    sent = spark.sparkContext.broadcast((pack(train(kept, named)), named, common, n, buckets))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["_n bigint", "_score double", "_rare array<bigint>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, named = sent.value
-        w, encode = unpack(flat), Encoder(named)
+        flat, named, common, n, buckets = sent.value
+        w, encode, shares = unpack(flat), Encoder(named), Shares(common, n, buckets)
         for b in batches:
             for i, j, data, offsets in textnum.slices(b.column("text")):
                 hashed, firsts = textnum.words(data, offsets, fold=True)
                 ids = encode(hashed)
-                logs = np.concatenate([[0.0], np.cumsum(log_probabilities(w, ids, contexts(ids, firsts)))])
-                n = np.diff(firsts)
-                total = np.diff(logs[firsts])
-                yield pa.RecordBatch.from_arrays([b.column(c).slice(i, j - i) for c in keep] + [pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))], names=[*keep, "n_words", "score", "mean_score"])
-
-    return kept.mapInArrow(run, schema)
+                share, rare = shares(hashed, ids)
+                logs = np.concatenate([[0.0], np.cumsum(log_probabilities(w, ids, contexts(ids, firsts)) + share)])
+                ends = np.concatenate([[0], np.cumsum(rare)])[firsts]
+                words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashed[rare].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(c).slice(i, j - i) for c in keep] + [pa.array(np.diff(firsts)), pa.array(np.diff(logs[firsts])), words], names=[*keep, "_n", "_score", "_rare"])
+
+    found = scratch.keep(kept.mapInArrow(run, schema).withColumn("_id", F.monotonically_increasing_id()))
+    # the rare words' own counts; that of a word that stands once adds log 1
+    words = found.select("_id", F.explode("_rare").alias("word"))
+    own = words.join(counts.where("n > 1"), "word").groupBy("_id").agg(F.sum(F.log("n")).alias("_own"))
+    total = F.col("_score") + F.coalesce("_own", F.lit(0.0))
+    out = found.drop("_rare").join(own, "_id", "left")
+    return out.select(*keep, F.col("_n").alias("n_words"), total.alias("score"), (total / F.greatest("_n", F.lit(1))).alias("mean_score"))

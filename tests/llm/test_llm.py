@@ -299,6 +299,26 @@ def test_lm_trains_on_every_text(spark):
         assert (lm.pack(lm.train(one, named)) != lm.pack(lm.start())).any()
 
 
+@pytest.mark.parametrize("sent", [0, 1 << 16])
+def test_lm_tells_rare_words_apart(spark, monkeypatch, sent):
+    monkeypatch.setattr(lm, "SENT", sent)
+    names = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([f"f{k}" for k in range(lm.NAMED)] * 10)) for i in range(2)] + [(10, " ".join(n for i, n in enumerate(names) for _ in range(1 + i % 7)))]
+    _, _, data, offsets = next(textnum.slices(pa.array([" ".join(names)])))
+    bucket = ((textnum.words(data, offsets, fold=True)[0] >> np.uint64(40)) % np.uint64(lm.BUCKETS)).tolist()
+    count, total = {n: 1 + i % 7 + 1 for i, n in enumerate(names)}, Counter()  # each stands once more below
+    for n, k in zip(names, bucket, strict=True):
+        total[k] += count[n]
+    rows += [(100 + i, n) for i, n in enumerate(names)]
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    seen = defaultdict(set)  # the score of a lone word, less its share, is its bucket's
+    for i, (n, k) in enumerate(zip(names, bucket, strict=True)):
+        seen[k].add(round(got[100 + i] - np.log(count[n] / total[k]), 3))
+    assert all(max(x) - min(x) < 0.01 for x in seen.values()) and len({round(v, 4) for v in got.values()}) > 100
+    assert got[10] < 0 and got[0] < 0
+
+
 def test_lm_gradient():
     rnd = np.random.default_rng(1)
     w = lm.start()
