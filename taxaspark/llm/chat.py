@@ -3,8 +3,9 @@
 Lines that begin with ">" marks are quotations, one level per mark. A run of lines of one level is a
 quoted passage. Passages and their lines are normalised (blanks collapsed, case folded) and hashed,
 and so are each message's own lines, paragraphs and whole text. A quoted hash is joined to the latest
-earlier message of the conversation that holds it as its own; the message that accounts for most
-quoted characters of the first level is the parent, or else the message before. Conversations come
+earlier message of the conversation that holds it as its own, at every level. Of the lowest level that
+has such a message, the one that accounts for most quoted characters is the parent, or else the message
+before; the links of all levels come out beside it. Conversations come
 out in reply order, each message after the one that it answers, without quotations and without the
 line that announces them.
 
@@ -28,6 +29,7 @@ RANGE = 64
 #: A line that announces a quotation.
 ANNOUNCES = r"(?i)^\s*(on\b.*\bwrote|le\b.*\ba écrit|am\b.*\bschrieb.*|el\b.*\bescribió)\s*:\s*$"
 _FIRST = -(2**62)
+_LINKS = "array<struct<level: bigint, turn: bigint, chars: bigint>>"
 
 
 def _norm(x: Column) -> Column:
@@ -84,7 +86,7 @@ def positions(rows: DataFrame, key: str, at: str, tie: str, out: str) -> DataFra
 
 
 def link(messages: DataFrame) -> DataFrame:
-    """One row per message: conv_id, turn, role, position, parent_turn, quotes (whether a quotation names the parent), n_quoted, levels, message, formatted."""
+    """One row per message: conv_id, turn, role, position, parent_turn, quotes (whether a quotation names the parent), links (level, turn and characters of each message quoted), n_quoted, levels, message, formatted."""
     parsed = parse(messages.select("conv_id", "turn", "role", "text"))
     parsed = parsed.select(
         F.monotonically_increasing_id().alias("_id"), "conv_id", "turn", "role", F.coalesce(F.col("turn").cast("bigint"), F.lit(_FIRST)).alias("_at"),
@@ -96,18 +98,21 @@ def link(messages: DataFrame) -> DataFrame:
     indexed = null_join(parsed, quoting.select("conv_id").distinct().withColumn("_some", F.lit(True)), ["conv_id"])
     parts = F.concat(F.array("message"), F.split("message", r"\n\s*\n"), F.split("message", "\n"))
     originals = indexed.select("conv_id", "_at", F.explode(F.array_distinct(F.filter(F.transform(parts, _norm), lambda x: F.length(x) > 0))).alias("_x"))
-    originals = originals.select("conv_id", "_at", F.xxhash64("_x").alias("_hash"), F.lit(True).alias("_source"), F.lit(None).cast("bigint").alias("_id"), F.lit(0).alias("_size"))
-    quoted = quoting.select("_id", "conv_id", "_at", F.explode(F.filter(F.concat("_passages", "_quoted"), lambda x: x["depth"] == 1)).alias("_q"))
-    quoted = quoted.withColumn("_x", _norm(F.col("_q.body"))).where("_x <> ''").select("conv_id", "_at", F.xxhash64("_x").alias("_hash"), F.lit(False).alias("_source"), "_id", F.length("_x").alias("_size"))
+    originals = originals.select("conv_id", "_at", F.xxhash64("_x").alias("_hash"), F.lit(True).alias("_source"), F.lit(None).cast("bigint").alias("_id"), F.lit(0).alias("_size"), F.lit(0).alias("_level"))
+    quoted = quoting.select("_id", "conv_id", "_at", F.explode(F.concat("_passages", "_quoted")).alias("_q"))
+    quoted = quoted.withColumn("_x", _norm(F.col("_q.body"))).where("_x <> ''").select("conv_id", "_at", F.xxhash64("_x").alias("_hash"), F.lit(False).alias("_source"), "_id", F.length("_x").alias("_size"), F.col("_q.depth").alias("_level"))
     met = latest_before(originals.unionByName(quoted), ["conv_id", "_hash"], "_at", "_source", "_to").where("not _source and _to is not null")
-    votes = met.groupBy("_id", "_to").agg(F.sum("_size").alias("_weight")).groupBy("_id").agg(F.max(F.struct("_weight", "_to")).alias("_best"))
+    votes = met.groupBy("_id", "_level", "_to").agg(F.sum("_size").alias("_weight"))
+    one = F.struct(F.col("_level").cast("bigint").alias("level"), F.when(F.col("_to") != _FIRST, F.col("_to")).alias("turn"), F.col("_weight").alias("chars"))
+    votes = votes.groupBy("_id").agg(F.max(F.struct(-F.col("_level"), "_weight", "_to")).alias("_best"), F.array_sort(F.collect_list(one)).alias("_links"))
     # order and parents are found on ids and turns; the messages' text is joined to them once
     named = parsed.select("_id", "conv_id", "_at", F.lit(True).alias("_true"))
     placed = positions(latest_before(named, ["conv_id"], "_at", "_true", "_last"), "conv_id", "_at", "_id", "position")
-    placed = placed.select("_id", "_last", "position").join(votes.select("_id", F.col("_best._to").alias("_linked")), "_id", "left")
+    placed = placed.select("_id", "_last", "position").join(votes.select("_id", F.col("_best._to").alias("_linked"), "_links"), "_id", "left")
     parent = F.coalesce("_linked", "_last")
     return parsed.join(placed, "_id").select(
         "conv_id", "turn", "role", "position", F.when(parent != _FIRST, parent).alias("parent_turn"), F.col("_linked").isNotNull().alias("quotes"),
+        F.coalesce("_links", F.array().cast(_LINKS)).alias("links"),
         F.size("_quoted").cast("bigint").alias("n_quoted"), F.coalesce(F.array_max(F.transform("_quoted", lambda x: x["depth"])), F.lit(0)).cast("bigint").alias("levels"),
         "message", F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("message"), F.lit("\n")).alias("formatted"),
     )

@@ -405,6 +405,17 @@ def test_quotations(spark, monkeypatch):
     assert chat.link(df.limit(0)).count() == 0
 
 
+def test_nested_quotations(spark):
+    rows = [
+        (1, 0, "u", "The first words"), (1, 1, "u", "> The first words\nSecond answer"), (1, 2, "u", "In between"), (1, 3, "u", "> X wrote:\n>> the FIRST words\nThird"),
+        (1, 4, "u", "> Second answer\n>> The first words\n>> In between\nFourth"), (1, 5, "u", ">>> Third\n> > In between\nFifth"),
+    ]
+    got = {r["turn"]: r for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {t: (r["parent_turn"], r["quotes"], [tuple(x)[:2] for x in r["links"]]) for t, r in got.items()} == {
+        0: (None, False, []), 1: (0, True, [(1, 0)]), 2: (1, False, []), 3: (0, True, [(2, 0)]), 4: (1, True, [(1, 1), (2, 0), (2, 2)]), 5: (2, True, [(2, 2), (3, 3)]),
+    }
+
+
 # --- 10 --------------------------------------------------------------------------------------
 
 SECRETS = [
