@@ -127,7 +127,7 @@ def denoise_counts(
         raise ValueError("`kmers` and `umis` must hold the same samples")
     tested = rpmm_quantile(kreports, reference, study, taxon, quantile, alpha, alternative, drop_unmatched_taxa)
     by_sample = slsd(kreports, method, min_reads, min_minimizer_n_unique, min_samples, **test)
-    passed = slsd_passed(by_sample, cor_threshold, p_threshold).join(tested.truly(), "taxid", "left_semi")
+    passed = slsd_passed(by_sample, cor_threshold, p_threshold).join(tested.truly(), "taxid", "left_semi").localCheckpoint()  # one row per taxon; found once, not in each sample's plan
     counts = None
     for name, kmer in kmers.items():
         real = blsd(kmer, method, min_kmer_len, min_cells, p_adjust_method, **test).where(F.col("padj") < padj_threshold).select("taxid").join(passed, "taxid", "left_semi")

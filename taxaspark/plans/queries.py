@@ -319,14 +319,21 @@ def denoise_gates(v: Views) -> DataFrame:
 
 @query()
 def denoise_counts(v: Views) -> DataFrame:
-    """All three tests over brands: months are samples, years of shipping are libraries."""
+    """All three tests over brands, at the operator's own thresholds: months are samples of the reports, years of
+    shipping are libraries, suppliers their cells; the reference is an even share of all brands."""
     path = lambda x: F.array(F.lit("D"), F.lit("S")) if x == "ranks" else F.array(F.lit("All"), F.col("taxid"))
     rows = v.kreports().withColumns({"ranks": path("ranks"), "taxids": path("taxids"), "taxon": F.col("taxid")}).withColumn("taxa", path("taxa"))
     top = rows.groupBy("sample").agg(F.sum("total_reads").alias("total_reads")).select("sample", F.lit("All").alias("taxid"), "total_reads", F.array(F.lit("D")).alias("ranks"), F.array(F.lit("All")).alias("taxids"), F.lit("All").alias("taxon"), F.array(F.lit("All")).alias("taxa"))
-    tested = denoise.rpmm_quantile(rows.unionByName(top, allowMissingColumns=True), rows.groupBy("taxid").agg(F.lit(1.0).alias("rpmm")), taxon=["d__All"])
-    passed = denoise.slsd_passed(denoise.slsd(v.kreports()), -1, 1.1).join(tested.truly(), "taxid", "left_semi")
-    umi = v.table("lineitem").join(v.table("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.date_format("l_shipdate", "yyyy").alias("sample"), F.col("l_returnflag").alias("barcode"), F.col("p_brand").alias("taxid"), F.col("l_suppkey").alias("umi"))
-    return denoise.taxa_counts(umi.join(passed, "taxid", "left_semi"))
+    brands = rows.select("taxid").distinct()
+    even = brands.crossJoin(brands.agg((F.lit(1e6) / F.count(F.lit(1))).alias("rpmm")))
+    sold = v.table("lineitem").join(v.table("part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("library", F.date_format("l_shipdate", "yyyy"))
+    cells = sold.groupBy("library", F.col("l_suppkey").alias("barcode"), F.col("p_brand").alias("taxid")).agg(
+        F.sum("l_quantity").cast("bigint").alias("kmer_len"), F.count_distinct("l_partkey").alias("kmer_n_unique")
+    ).withColumn("taxa", F.col("taxid"))
+    umi = sold.select("library", F.col("l_returnflag").alias("barcode"), F.col("p_brand").alias("taxid"), F.col("l_suppkey").alias("umi"))
+    names = sorted(r["library"] for r in sold.select("library").distinct().collect())  # years
+    of = lambda df: {n: df.where(F.col("library") == n).drop("library") for n in names}
+    return denoise.denoise_counts(rows.unionByName(top, allowMissingColumns=True), of(cells), of(umi), even, taxon=["d__All"]).counts.select("sample", "barcode", "taxid", "counts")
 
 
 @query("SELECT id, seq AS seq1, translate(seq, 'ACGT', 'TGCA') AS seq2 FROM rd")
