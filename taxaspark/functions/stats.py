@@ -7,6 +7,7 @@ Kendall's exact test by counting.
 
 from __future__ import annotations
 
+import collections
 import functools
 import math
 
@@ -132,10 +133,35 @@ def pearson_p(r: float, n: int, alternative: str = "two.sided") -> float:
     return _sided(t_upper(t, n - 2), t_upper(-t, n - 2), alternative)
 
 
+def concordance(x: list[float], y: list[float]) -> int:
+    """Pairs in the same order on both sides less those in opposite order, in n log n steps: with the rows by x and then y,
+    opposite pairs are the inversions of y, counted while merging."""
+    n = len(x)
+    order = sorted(range(n), key=lambda i: (x[i], y[i]))
+    ys = [y[i] for i in order]
+    tied = lambda keys: sum(c * (c - 1) // 2 for c in collections.Counter(keys).values())
+    comparable = n * (n - 1) // 2 - tied(x) - tied(y) + tied(zip(x, y, strict=True))
+    swaps, width = 0, 1
+    while width < n:
+        merged: list[float] = []
+        for a in range(0, n, 2 * width):
+            left, right = ys[a : a + width], ys[a + width : a + 2 * width]
+            i = 0
+            for v in right:
+                while i < len(left) and left[i] <= v:
+                    merged.append(left[i])
+                    i += 1
+                swaps += len(left) - i
+                merged.append(v)
+            merged += left[i:]
+        ys, width = merged, 2 * width
+    return comparable - 2 * swaps
+
+
 def kendall(x: list[float], y: list[float], alternative: str = "two.sided", exact: bool | None = None, continuity: bool = False) -> tuple[float, float]:
     """tau-b and its p-value: by counting inversions below 50 rows without ties, else by the normal approximation."""
     n = len(x)
-    score = sum(((x[i] > x[j]) - (x[i] < x[j])) * ((y[i] > y[j]) - (y[i] < y[j])) for i in range(n) for j in range(i))
+    score = concordance(x, y)
     tied = lambda v: [c for c in pd.Series(v).value_counts() if c > 1]
     tx, ty = tied(x), tied(y)
     pairs = n * (n - 1) / 2
@@ -165,7 +191,16 @@ def binom_cdf(k: int, n: int, p: float = 0.5) -> float:
         return 0.0
     if k >= n:
         return 1.0
-    return 1 - beta_inc(k + 1, n - k, p)
+    return beta_inc(n - k, k + 1, 1 - p)
+
+
+def binom_upper(k: int, n: int, p: float = 0.5) -> float:
+    """P(X >= k), by its own tail: small ones don't vanish beside 1."""
+    if k <= 0:
+        return 1.0
+    if k > n:
+        return 0.0
+    return beta_inc(k, n - k + 1, p)
 
 
 # --- columns ---------------------------------------------------------------------------------
@@ -315,7 +350,7 @@ def binomial_p(at_most: Column, below: Column, n: Column, p: float, alternative:
     @F.pandas_udf("double")
     def run(t1: pd.Series, t2: pd.Series, m: pd.Series) -> pd.Series:
         def one(a: int, b: int, c: int) -> float:
-            less, greater = 1 - binom_cdf(int(b) - 1, int(c), p), binom_cdf(int(a), int(c), p)
+            less, greater = binom_upper(int(b), int(c), p), binom_cdf(int(a), int(c), p)
             return less if alternative == "less" else greater if alternative == "greater" else 2 * min(less, greater)
 
         return pd.Series([one(a, b, c) if pd.notna(c) else None for a, b, c in zip(t1, t2, m, strict=True)], dtype="float64")

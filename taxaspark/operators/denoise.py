@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -78,22 +79,23 @@ def rpmm_quantile(
     return QuantileTest(table, tests)
 
 
-def _groups_of(rows: DataFrame, least: int) -> DataFrame:
-    return rows.withColumn("_rows", F.count(F.lit(1)).over(W.partitionBy("taxid", "taxa"))).where(F.col("_rows") >= least).drop("_rows")
+def _groups_of(rows: DataFrame, least: int, keys: list[str]) -> DataFrame:
+    return rows.withColumn("_rows", F.count(F.lit(1)).over(W.partitionBy(*keys))).where(F.col("_rows") >= least).drop("_rows")
 
 
 def slsd(kreports: DataFrame, method: str = "spearman", min_reads: int = 3, min_minimizer_n_unique: int = 3, min_samples: int = 3, **test) -> DataFrame:
     """taxid, taxa, r1-r3, p1-p3: correlations over samples of minimizers, distinct minimizers and reads."""
     rows = kreports.where((F.col("total_reads") >= min_reads) & (F.col("minimizer_n_unique") >= min_minimizer_n_unique))
     pairs = {"r1": ("minimizer_len", "minimizer_n_unique", "p1"), "r2": ("minimizer_len", "total_reads", "p2"), "r3": ("total_reads", "minimizer_n_unique", "p3")}
-    return cor_tests(_groups_of(rows, min_samples), ["taxid", "taxa"], pairs, method, **test).select("taxid", "taxa", "r1", "r2", "r3", "p1", "p2", "p3")
+    return cor_tests(_groups_of(rows, min_samples, ["taxid", "taxa"]), ["taxid", "taxa"], pairs, method, **test).select("taxid", "taxa", "r1", "r2", "r3", "p1", "p2", "p3")
 
 
-def blsd(kmer: DataFrame, method: str = "spearman", min_kmer_len: int = 3, min_cells: int = 3, p_adjust_method: str = "BH", **test) -> DataFrame:
-    """taxid, taxa, cor, pvalue, padj: correlations over barcodes of k-mers and distinct k-mers."""
-    rows = _groups_of(kmer.where(F.col("kmer_len") >= min_kmer_len), min_cells)
-    tested = cor_tests(rows, ["taxid", "taxa"], {"cor": ("kmer_len", "kmer_n_unique", "pvalue")}, method, **test)
-    return p_adjust(tested, "pvalue", "padj", p_adjust_method)
+def blsd(kmer: DataFrame, method: str = "spearman", min_kmer_len: int = 3, min_cells: int = 3, p_adjust_method: str = "BH", within: list[str] | None = None, **test) -> DataFrame:
+    """taxid, taxa, cor, pvalue, padj: correlations over barcodes of k-mers and distinct k-mers. With `within`, each group of these columns is tested by itself, and they come first."""
+    keys = [*(within or []), "taxid", "taxa"]
+    rows = _groups_of(kmer.where(F.col("kmer_len") >= min_kmer_len), min_cells, keys)
+    tested = cor_tests(rows, keys, {"cor": ("kmer_len", "kmer_n_unique", "pvalue")}, method, **test)
+    return p_adjust(tested, "pvalue", "padj", p_adjust_method, within)
 
 
 def taxa_counts(umi: DataFrame, barcode: str = "barcode", sample: str = "sample") -> DataFrame:
@@ -116,21 +118,28 @@ def slsd_passed(tests: DataFrame, cor_threshold: float = 0, p_threshold: float =
     return tests.where(ok).select("taxid").distinct()
 
 
+def by_sample(frames: DataFrame | dict[str, DataFrame]) -> DataFrame:
+    """One frame with a column `sample`, which a frame that isn't given by sample name already has."""
+    if isinstance(frames, DataFrame):
+        return frames
+    return functools.reduce(DataFrame.unionByName, [df.withColumn("sample", F.lit(name)) for name, df in frames.items()])
+
+
 def denoise_counts(
-    kreports: DataFrame, kmers: dict[str, DataFrame], umis: dict[str, DataFrame], reference: DataFrame, taxon: Iterable[str] = TAXON, drop_unmatched_taxa: bool = True,
+    kreports: DataFrame, kmers: DataFrame | dict[str, DataFrame], umis: DataFrame | dict[str, DataFrame], reference: DataFrame, taxon: Iterable[str] = TAXON, drop_unmatched_taxa: bool = True,
     quantile: float = 0.95, alpha: float = 0.05, min_reads: int = 3, min_minimizer_n_unique: int = 3, min_samples: int = 3, min_kmer_len: int = 3, min_cells: int = 3,
     cor_threshold: float = 0, p_threshold: float = 0.05, padj_threshold: float = 0.05, study: str = "current study", alternative: str = "greater", p_adjust_method: str = "BH",
     method: str = "spearman", **test,
 ) -> Denoised:
-    """UMI counts of the taxa that pass all three tests, per sample; `kmers` and `umis` are by sample name."""
-    if kmers.keys() != umis.keys():
+    """UMI counts of the taxa that pass all three tests, per sample.
+
+    `kmers` and `umis` have a column `sample`, or are given by sample name. All samples are one plan, keyed by sample.
+    """
+    if isinstance(kmers, dict) and isinstance(umis, dict) and kmers.keys() != umis.keys():
         raise ValueError("`kmers` and `umis` must hold the same samples")
     tested = rpmm_quantile(kreports, reference, study, taxon, quantile, alpha, alternative, drop_unmatched_taxa)
-    by_sample = slsd(kreports, method, min_reads, min_minimizer_n_unique, min_samples, **test)
-    passed = slsd_passed(by_sample, cor_threshold, p_threshold).join(tested.truly(), "taxid", "left_semi").localCheckpoint()  # one row per taxon; found once, not in each sample's plan
-    counts = None
-    for name, kmer in kmers.items():
-        real = blsd(kmer, method, min_kmer_len, min_cells, p_adjust_method, **test).where(F.col("padj") < padj_threshold).select("taxid").join(passed, "taxid", "left_semi")
-        one = taxa_counts(umis[name].join(real, "taxid", "left_semi").withColumn("sample", F.lit(name)))
-        counts = one if counts is None else counts.unionByName(one)
-    return Denoised(counts, by_sample, tested)
+    samples = slsd(kreports, method, min_reads, min_minimizer_n_unique, min_samples, **test)
+    passed = slsd_passed(samples, cor_threshold, p_threshold).join(tested.truly(), "taxid", "left_semi")
+    cells = blsd(by_sample(kmers), method, min_kmer_len, min_cells, p_adjust_method, ["sample"], **test)
+    real = cells.where(F.col("padj") < padj_threshold).select("sample", "taxid").join(passed, "taxid", "left_semi")
+    return Denoised(taxa_counts(by_sample(umis).join(real, ["sample", "taxid"], "left_semi")), samples, tested)

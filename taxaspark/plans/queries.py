@@ -42,6 +42,36 @@ cells AS (SELECT user_id AS barcode, event_type AS taxid, count(*) AS kmer_len,
 """
 
 
+def _t_p(r: str, n: str) -> str:
+    """SQL: the two-sided p-value of a correlation by Student's t of n - 2 degrees, whose distribution is a finite sum."""
+    d, c = f"({n} - 2)", f"(1 - {r} * {r})"
+    even = f"abs({r}) * list_sum(list_transform(range(0, {d} // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1)) * pow({c}, k)))"
+    odd = f"2 / pi() * (asin(abs({r})) + abs({r}) * coalesce(list_sum(list_transform(range(0, ({d} - 1) // 2), lambda k: exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)) * pow({c}, k + 0.5))), 0))"
+    return f"CASE WHEN {d} < 1 THEN NULL WHEN abs({r}) >= 1 THEN 0 WHEN {d} % 2 = 0 THEN greatest(0.0, 1 - {even}) ELSE greatest(0.0, 1 - {odd}) END"
+
+
+def _series_p(r: str, n: str) -> str:
+    """SQL: the two-sided p-value of Spearman's rho without ties for n > 9, by the published series at the even sum of squared differences."""
+    s = f"round((pow({n}, 3) - {n}) * (1 - {r}) / 6)"
+    b = f"(1.0 / {n})"
+
+    def upper(s: str) -> str:
+        x = f"((6 * ({s} - 1) / {n} / (pow({n}, 2) - 1.0) - 1) * sqrt({n} - 1))"
+        y = f"pow({x}, 2)"
+        # the fixed values of functions.stats.rho_upper
+        u = f"{x} * {b} * (0.2274 + {b} * (0.2531 + 0.1745 * {b}) + {y} * (-0.0758 + {b} * (0.1033 + 0.3932 * {b}) - {y} * {b} * (0.0879 + 0.0151 * {b} - {y} * (0.0072 - 0.0831 * {b} + {y} * {b} * (0.0131 - 4.6e-04 * {y})))))"
+        normal = f"(0.5 - exp(-{y} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 1500), lambda k: {x} * exp(k * ln(greatest({y}, 1e-300)) - k * ln(2) - lgamma(k + 1.5) + lgamma(1.5)))))"
+        return f"least(1.0, greatest(0.0, {u} / exp({y} / 2) + {normal}))"
+
+    most = f"(pow({n}, 3) - {n}) / 6"
+    return f"least(1.0, 2 * CASE WHEN {s} > {most} THEN {upper(s)} ELSE 1 - {upper(f'({s} + 2)')} END)"
+
+
+def _rho_p(r: str, n: str, ties: str) -> str:
+    """SQL: p-value of Spearman's rho for 9 < n < 1290, and for any n with ties."""
+    return f"CASE WHEN {ties} OR {n} >= 1290 THEN {_t_p(r, n)} ELSE {_series_p(r, n)} END"
+
+
 def query(sql: str | None = None, shared: bool = True):
     def add(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
         name = f.__name__
@@ -147,8 +177,7 @@ def kractor_reads_semi(v: Views) -> DataFrame:
 WHERE status = 'C' AND lca IS NOT NULL AND NOT contains(lca, 'c9:') AND taxon IN (SELECT taxid FROM clo WHERE ancestor = 'r2')"""
 )
 def koutreads_join(v: Views) -> DataFrame:
-    region = "D__" + "ASIA"
-    found = koutreads(v.taxonomy(), v.koutput(), v.reads(), [tag("BARCODE", seq_range(1, 4)), tag("UMI", seq_range(5, 10))], taxonomy=[region], exclude=["c9"])
+    found = koutreads(v.taxonomy(), v.koutput(), v.reads(), [tag("BARCODE", seq_range(1, 4)), tag("UMI", seq_range(5, 10))], taxonomy=["D__ASIA"], exclude=["c9"])
     return encoded(found)
 
 
@@ -277,9 +306,14 @@ def slsd_corr(v: Views) -> DataFrame:
     return denoise.slsd(v.kreports()).select("taxid", *[F.round(c, 6).alias(c) for c in ("r1", "r2", "r3")])
 
 
-@query()
+#: Coefficients and p-values of the sample test, before rounding.
+_SLSD_P = _SLSD.rstrip() + """, coef AS (SELECT taxid, corr(x, y) AS r1, corr(x, z) AS r2, corr(z, y) AS r3, CAST(count(*) AS BIGINT) AS n, count(DISTINCT x) AS dx, count(DISTINCT y) AS dy, count(DISTINCT z) AS dz FROM ranked GROUP BY taxid),
+tested AS (SELECT taxid, r1, r2, r3, """ + ", ".join(f"{_rho_p(r, 'n', t)} AS {p}" for r, t, p in (("r1", "least(dx, dy) < n", "p1"), ("r2", "least(dx, dz) < n", "p2"), ("r3", "least(dz, dy) < n", "p3"))) + " FROM coef)\n"
+
+
+@query(_SLSD_P + "SELECT taxid, taxid AS taxa, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("r1", "r2", "r3", "p1", "p2", "p3")) + " FROM tested")
 def slsd(v: Views) -> DataFrame:
-    return denoise.slsd(v.kreports())
+    return denoise.slsd(v.kreports()).select("taxid", "taxa", *[F.round(c, 6).alias(c) for c in ("r1", "r2", "r3", "p1", "p2", "p3")])
 
 
 @query(
@@ -292,9 +326,23 @@ def blsd_corr(v: Views) -> DataFrame:
     return denoise.blsd(v.kmer()).select("taxid", F.round("cor", 6).alias("cor"))
 
 
-@query()
+def _blsd(cells: str, within: str = "") -> str:
+    """SQL of the barcode test over a view of taxid, kmer_len and kmer_n_unique: view `adjusted`."""
+    keys = f"{within}taxid"
+    every = f"PARTITION BY {within.rstrip(', ')}" if within else ""
+    return f""", held AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY {keys}) AS m FROM {cells} WHERE kmer_len >= 3) WHERE m >= 3),
+placed AS (SELECT {keys}, rank() OVER (PARTITION BY {keys} ORDER BY kmer_len) + (count(*) OVER (PARTITION BY {keys}, kmer_len) - 1) / 2.0 AS a,
+  rank() OVER (PARTITION BY {keys} ORDER BY kmer_n_unique) + (count(*) OVER (PARTITION BY {keys}, kmer_n_unique) - 1) / 2.0 AS b FROM held),
+cors AS (SELECT {keys}, corr(a, b) AS cor, CAST(count(*) AS BIGINT) AS n, least(count(DISTINCT a), count(DISTINCT b)) < count(*) AS ties FROM placed GROUP BY ALL),
+ps AS (SELECT {keys}, cor, CASE WHEN isfinite(cor) THEN {_rho_p('cor', 'n', 'ties')} END AS pvalue FROM cors),
+numbered AS (SELECT *, count(pvalue) OVER ({every}) AS tests, row_number() OVER ({every} ORDER BY pvalue NULLS LAST) AS i FROM ps),
+adjusted AS (SELECT {keys}, cor, pvalue, CASE WHEN pvalue IS NOT NULL THEN least(1.0, min(pvalue * tests / i) OVER ({every} ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END AS padj FROM numbered)
+"""
+
+
+@query(_blsd("cells") + "SELECT taxid, taxid AS taxa, round(cor, 6) AS cor, round(pvalue, 6) AS pvalue, round(padj, 6) AS padj FROM adjusted")
 def blsd(v: Views) -> DataFrame:
-    return denoise.blsd(v.kmer())
+    return denoise.blsd(v.kmer()).select("taxid", "taxa", *[F.round(c, 6).alias(c) for c in ("cor", "pvalue", "padj")])
 
 
 @query(
@@ -307,33 +355,69 @@ def p_adjust_bh(v: Views) -> DataFrame:
 
 
 @query(
-    _SLSD + """, s AS (SELECT taxid FROM ranked GROUP BY taxid HAVING corr(x, y) > 0.3 AND corr(x, z) > 0.3 AND corr(z, y) > 0.3)
+    _SLSD_P.rstrip() + """, s AS (SELECT taxid FROM tested WHERE least(r1, r2, r3) > 0.3 AND greatest(p1, p2, p3) < 0.01)
 SELECT strftime(l_shipdate, '%Y') AS sample, l_returnflag AS barcode, p_brand AS taxid, count(DISTINCT l_suppkey) AS counts FROM lineitem JOIN part ON l_partkey = p_partkey
 WHERE p_brand IN (SELECT taxid FROM s) GROUP BY 1, 2, 3"""
 )
 def denoise_gates(v: Views) -> DataFrame:
-    tests = denoise.slsd(v.kreports()).drop("p1", "p2", "p3").withColumns({f"p{k}": F.lit(0.0) for k in "123"})
     umi = v.table("lineitem").join(v.table("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.date_format("l_shipdate", "yyyy").alias("sample"), F.col("l_returnflag").alias("barcode"), F.col("p_brand").alias("taxid"), F.col("l_suppkey").alias("umi"))
-    return denoise.taxa_counts(umi.join(denoise.slsd_passed(tests, 0.3), "taxid", "left_semi"))
+    return denoise.taxa_counts(umi.join(denoise.slsd_passed(denoise.slsd(v.kreports()), 0.3, 0.01), "taxid", "left_semi"))
 
 
-@query()
-def denoise_counts(v: Views) -> DataFrame:
-    """All three tests over brands, at the operator's own thresholds: months are samples of the reports, years of
-    shipping are libraries, suppliers their cells; the reference is an even share of all brands."""
+#: The quantile test of brands against an even share of all, with one reference value a month.
+_RPMM = """, total AS (SELECT sample, sum(total_reads) AS t FROM krep GROUP BY 1), even AS (SELECT 1e6 / count(DISTINCT taxid) AS r FROM krep),
+shares AS (SELECT taxid, count(*) AS n, count(*) FILTER (WHERE total_reads / t * 1e6 <= r) AS t1 FROM krep JOIN total USING (sample), even GROUP BY 1),
+tails AS (SELECT taxid, n, t1, list_sum(list_transform(range(0, t1 + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * ln(0.5)))) AS pvalue FROM shares)
+"""
+
+
+@query(
+    _RPMM + """SELECT taxid, taxid AS taxa, round(pvalue, 6) AS pvalue, true AS matched, pvalue < 0.05 AS significant, pvalue < 0.05 AS truly FROM tails
+UNION ALL SELECT 'All', 'All', NULL, false, false, true"""
+)
+def rpmm_quantile(v: Views) -> DataFrame:
+    """The whole test: a row of all brands together has no reference, so it is unmatched and kept."""
+    reports, even = _brand_reports(v)
+    found = denoise.rpmm_quantile(reports, even, taxon=["d__All"], drop_unmatched_taxa=False).tests
+    return found.select("taxid", "taxa", F.round("pvalue", 6).alias("pvalue"), "matched", "significant", "truly")
+
+
+@query(
+    _RPMM.rstrip() + """, wide AS (SELECT taxid, rpmm, study FROM (SELECT taxid, total_reads / t * 1e6 AS rpmm, 'current study' AS study FROM krep JOIN total USING (sample)
+  UNION ALL SELECT taxid, r, 'cell lines' FROM krep, even)) SELECT taxid, taxid AS taxa, round(rpmm, 4) AS rpmm, study, round(pvalue, 6) AS pvalue FROM wide JOIN tails USING (taxid) WHERE pvalue < 0.05"""
+)
+def rpmm_plot_data(v: Views) -> DataFrame:
+    """What a density plot of the significant brands shows."""
+    reports, even = _brand_reports(v)
+    return denoise.rpmm_quantile(reports, even, taxon=["d__All"]).plot_data().select("taxid", "taxa", F.round("rpmm", 4).alias("rpmm"), "study", F.round("pvalue", 6).alias("pvalue"))
+
+
+def _brand_reports(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Monthly reports of brands below one domain, and an even share of all brands as the reference."""
     path = lambda x: F.array(F.lit("D"), F.lit("S")) if x == "ranks" else F.array(F.lit("All"), F.col("taxid"))
     rows = v.kreports().withColumns({"ranks": path("ranks"), "taxids": path("taxids"), "taxon": F.col("taxid")}).withColumn("taxa", path("taxa"))
     top = rows.groupBy("sample").agg(F.sum("total_reads").alias("total_reads")).select("sample", F.lit("All").alias("taxid"), "total_reads", F.array(F.lit("D")).alias("ranks"), F.array(F.lit("All")).alias("taxids"), F.lit("All").alias("taxon"), F.array(F.lit("All")).alias("taxa"))
     brands = rows.select("taxid").distinct()
     even = brands.crossJoin(brands.agg((F.lit(1e6) / F.count(F.lit(1))).alias("rpmm")))
-    sold = v.table("lineitem").join(v.table("part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("library", F.date_format("l_shipdate", "yyyy"))
-    cells = sold.groupBy("library", F.col("l_suppkey").alias("barcode"), F.col("p_brand").alias("taxid")).agg(
+    return rows.unionByName(top, allowMissingColumns=True), even
+
+
+@query(
+    _SLSD_P.rstrip() + _RPMM.rstrip() + """, sold AS (SELECT strftime(l_shipdate, '%Y') AS sample, p_brand AS taxid, l_suppkey, l_partkey, l_returnflag, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey),
+shops AS (SELECT sample, taxid, l_suppkey, CAST(sum(l_quantity) AS BIGINT) AS kmer_len, count(DISTINCT l_partkey) AS kmer_n_unique FROM sold GROUP BY 1, 2, 3)"""
+    + _blsd("shops", "sample, ").rstrip() + """, real AS (SELECT sample, taxid FROM adjusted WHERE padj < 0.05 AND taxid IN (SELECT taxid FROM tested WHERE least(r1, r2, r3) > 0 AND greatest(p1, p2, p3) < 0.05) AND taxid IN (SELECT taxid FROM tails WHERE pvalue < 0.05))
+SELECT sample, l_returnflag AS barcode, taxid, count(DISTINCT l_suppkey) AS counts FROM sold SEMI JOIN real USING (sample, taxid) GROUP BY ALL"""
+)
+def denoise_counts(v: Views) -> DataFrame:
+    """All three tests over brands, at the operator's own thresholds: months are samples of the reports, years of
+    shipping are libraries, suppliers their cells; the reference is an even share of all brands."""
+    reports, even = _brand_reports(v)
+    sold = v.table("lineitem").join(v.table("part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("sample", F.date_format("l_shipdate", "yyyy"))
+    cells = sold.groupBy("sample", F.col("l_suppkey").alias("barcode"), F.col("p_brand").alias("taxid")).agg(
         F.sum("l_quantity").cast("bigint").alias("kmer_len"), F.count_distinct("l_partkey").alias("kmer_n_unique")
     ).withColumn("taxa", F.col("taxid"))
-    umi = sold.select("library", F.col("l_returnflag").alias("barcode"), F.col("p_brand").alias("taxid"), F.col("l_suppkey").alias("umi"))
-    names = sorted(r["library"] for r in sold.select("library").distinct().collect())  # years
-    of = lambda df: {n: df.where(F.col("library") == n).drop("library") for n in names}
-    return denoise.denoise_counts(rows.unionByName(top, allowMissingColumns=True), of(cells), of(umi), even, taxon=["d__All"]).counts.select("sample", "barcode", "taxid", "counts")
+    umi = sold.select("sample", F.col("l_returnflag").alias("barcode"), F.col("p_brand").alias("taxid"), F.col("l_suppkey").alias("umi"))
+    return denoise.denoise_counts(reports, cells, umi, even, taxon=["d__All"]).counts.select("sample", "barcode", "taxid", "counts")
 
 
 @query("SELECT id, seq AS seq1, translate(seq, 'ACGT', 'TGCA') AS seq2 FROM rd")

@@ -152,3 +152,32 @@ def test_lists(spark):
         lists.contains_any(v, ["q", "c"]), lists.text_contains_any(t, ["q", "."]), lists.text_contains_any(t, ["xy"]),
     ).first()
     assert tuple(got) == (["c", "a", None], "b", None, "a", "c", None, True, True, False)
+
+
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), min_size=1, max_size=30))
+def test_concordance_matches_all_pairs(rows):
+    x, y = [a for a, _ in rows], [b for _, b in rows]
+    sign = lambda a, b: (a > b) - (a < b)
+    assert stats.concordance(x, y) == sum(sign(x[i], x[j]) * sign(y[i], y[j]) for i in range(len(x)) for j in range(i))
+
+
+def test_small_tails():
+    assert stats.binom_cdf(0, 200, 0.5) == pytest.approx(0.5**200)
+    assert stats.binom_upper(200, 200, 0.5) == pytest.approx(0.5**200)
+    assert stats.binom_upper(3, 10) == pytest.approx(1 - stats.binom_cdf(2, 10))
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    from types import SimpleNamespace as Space
+
+    from taxaspark.session import shared_folder
+
+    assert shared_folder(spark)
+    for master, ok in (("local[4]", True), ("spark://host:7077", False), ("local-cluster[2,1,512]", False)):
+        sc = Space(master=master, getConf=lambda: Space(get=lambda k: None), getCheckpointDir=lambda: None, setCheckpointDir=lambda p: None)
+        fake = Space(sparkContext=sc, conf=Space(get=lambda k, d: None))
+        if ok:
+            assert shared_folder(fake).startswith("file://")
+        else:
+            with pytest.raises(ValueError):
+                shared_folder(fake)
