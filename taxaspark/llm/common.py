@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import ship
+from ..session import shared_folder, ship
 
 #: A word is a run of characters outside these six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,43 +20,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="taxaspark-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
+class Scratch:
+    """Written tables in the shared folder: they cut lineage and survive the loss of executors.
 
+    What isn't dropped earlier is deleted when the session's Python process ends, or by `drop_all`.
+    """
 
-class Scratch:
-    """Written tables in the shared folder: they cut lineage and survive the loss of executors."""
+    _open: dict[str, SparkSession] = {}
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
         self.count = 0
+        Scratch._open[self.root] = spark
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that no later plan reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, df.scratch_path)
+
+    @classmethod
+    def drop_all(cls, but: set[str] = frozenset()) -> None:
+        """Deletes the tables of all operators run so far, but for the folders `but`: their lazy results can't be read any more."""
+        for root, spark in list(cls._open.items()):
+            if root not in but:
+                if spark.sparkContext._jsc is not None:
+                    _delete(spark, root)
+                del cls._open[root]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bounds the texts that a Python worker holds at once, and sends workers this code."""
+atexit.register(Scratch.drop_all)
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds by bytes what a Python worker is sent at once, and sends workers this code. No result depends on the bound, and
+    the number of rows of a batch stays as the session has it."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def words_of(text: Column) -> Column:
@@ -69,7 +81,22 @@ def hash_key(*cols: Column, seed: int = 0) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 1)
 
 
-def prefix_sums(df: DataFrame, group: list[str], order: list[str], amount: str, out: str, rows_per_slice: int = 2_000) -> DataFrame:
+def copy_numbers(df: DataFrame, keys: list[str], row: str, out: str) -> DataFrame:
+    """Adds `out`: the number, from 0, of each row among those of equal `keys`. `row` is a monotonically_increasing_id.
+
+    The copies in a partition of the input are numbered together, and then follow those of the partitions
+    before: a third of all rows may be equal, and the numbers are the same however rows were dealt.
+    """
+    put = df.withColumn("_part", F.shiftright(row, 33))
+    sizes = put.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    # partitions that begin a group need no base
+    sizes = sizes.withColumn("_base", F.sum("_n").over(before)).where("_base is not null").drop("_n")
+    near = put.withColumn("_near", F.row_number().over(W.partitionBy(*keys, "_part").orderBy(row)) - 1)
+    return null_join(near, sizes, [*keys, "_part"], "left").withColumn(out, (F.coalesce("_base", F.lit(0)) + F.col("_near")).cast("bigint")).drop("_base", "_near", "_part")
+
+
+def prefix_sums(df: DataFrame, group: list[str], order: list[str], amount: str, out: str, rows_per_slice: int = 500) -> DataFrame:
     """Adds `out`: the sum of `amount` over earlier rows of the group, by `order`, whose first column is a hash_key.
 
     A group is cut into slices of the key of about `rows_per_slice` rows, or the square root of its

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import textnum
-from .common import hash_key, small_batches
+from .common import bounded_batches, hash_key
 
 DIMS = 1 << 14
 GRAMS = 3
@@ -185,7 +185,7 @@ def _temperature(logits: np.ndarray, ys: np.ndarray) -> float:
 
 def train(docs: DataFrame, dims: int = DIMS, most: int = SAMPLE):
     """(languages, idf-scaled weights, bias, temperature) from the rows of `docs` that may be learned from."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     labelled = docs.where(may_learn(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     langs, xs, ys = sample(labelled, dims, most)
     have = sorted({*ys.tolist()})
@@ -200,7 +200,7 @@ def train(docs: DataFrame, dims: int = DIMS, most: int = SAMPLE):
 
 def predict(docs: DataFrame, model, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep`, lang_pred and score of each row; the text alone decides."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     langs, w, bias, idf, t = model
     kept = docs.select(*keep, F.col(text).alias("_text"))
     schema = StructType([*kept.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])

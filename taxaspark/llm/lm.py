@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import Scratch, small_batches
+from .common import Scratch, bounded_batches
 
 NAMED, BUCKETS = 192, 63
 SENT = 1 << 16
@@ -58,7 +58,7 @@ def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]
 
 def vocabulary(docs: DataFrame) -> np.ndarray:
     """Hashes of the named words, the most frequent first."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     return most_frequent(word_counts(docs), NAMED)[0]
 
 
@@ -232,7 +232,7 @@ def train(docs: DataFrame, named: np.ndarray, rounds: int = ROUNDS, share: int =
 def score(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, n_words, score (summed log-probability) and mean_score (per word)."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    small_batches(spark)
+    bounded_batches(spark)
     counts = scratch.keep(word_counts(docs))
     common, n = most_frequent(counts, max(NAMED, SENT))
     named, buckets = common[:NAMED], bucket_counts(counts, common[:NAMED], n[:NAMED])

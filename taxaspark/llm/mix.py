@@ -6,8 +6,8 @@ key order within their source by ranges; prefix sums of the sizes over these ran
 source's budget ends. A budget above the source's size takes whole epochs first.
 
 Null or empty texts have size 0 and are never taken. A null source is a source of its own, last in
-order. Repeated rows count each; equal keys are ordered by id and size. An empty table gives an empty
-result. Columns other than id, text and source are ignored by `plan_mix`, and kept by `mix`.
+order. Repeated rows count each and get keys of their own by their number among equal ones. An empty
+table gives an empty result. Columns other than id, text and source are ignored by `plan_mix`, and kept by `mix`.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import GAP, WORD, hash_key, null_join, prefix_sums, words_of
+from .common import GAP, WORD, Scratch, copy_numbers, hash_key, null_join, prefix_sums, words_of
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -52,45 +52,43 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     """Per row: doc_id, source, size, source_size, target, epochs (whole takes), taken (words, repeats counted).
 
     The taken words of a source are its target, rounded: the row at the end of the budget is taken in part.
+    Words are counted once, and the plan is made on the written sizes.
     """
-    sized = docs.select("doc_id", "source", words_of(F.col("text")).alias("size"))
-    return _plan(sized, weights, share, most, seed)
+    sized = docs.select("doc_id", "source", words_of(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("_rid"))
+    return _plan(Scratch(docs.sparkSession).keep(sized), ["doc_id", "size"], weights, share, most, seed).drop("_rid")
 
 
-def _plan(sized: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: int) -> DataFrame:
+def _plan(sized: DataFrame, names: list[str], weights: tuple[int, ...], share: float, most: int, seed: int) -> DataFrame:
+    """`names`: what tells rows apart; equal rows get keys apart by their number among each other."""
     by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    keyed = sized.withColumn("_key", hash_key(F.col("doc_id"), F.col("size"), seed=seed))
-    placed = null_join(prefix_sums(keyed, ["source"], ["_key", "doc_id", "size"], "size", "_before"), by_source, ["source"])
+    same = ["source", *names]
+    keyed = copy_numbers(sized, same, "_rid", "_copy").withColumn("_key", hash_key(*names, "_copy", seed=seed))
+    placed = null_join(prefix_sums(keyed, ["source"], ["_key", *names, "_copy"], "size", "_before"), by_source, ["source"])
     budget = F.round("target").cast("long")
     whole = F.greatest(F.col("source_size"), F.lit(1))
     left = F.pmod(budget, whole)
     epochs = F.when(F.col("source_size") > 0, ((budget - left) / whole)).otherwise(0).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("_before")))
-    return placed.withColumn("epochs", epochs).withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long")).drop("_key", "_before")
+    return placed.withColumn("epochs", epochs).withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long")).drop("_key", "_copy", "_before")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The mixed rows, with the columns of `docs`: each row as often as it is taken, the last of a budget cut after its last taken word."""
-    names = docs.columns
-    # the plan is made on ids and sizes; texts are shuffled once, to meet it. Rows of one id and text share its takes, in any order
-    same = W.partitionBy("_id", "_hash").orderBy("_hash")
-    key = F.coalesce("doc_id", F.lit(0))
-    digest = F.xxhash64(F.col("doc_id").isNull(), "source", "text")
-    sized = docs.select(key.alias("_id"), digest.alias("_hash"), words_of(F.col("text")).alias("size"), "source", "doc_id")
-    planned = _plan(sized, weights, share, most, seed).select("_id", "_hash", "size", "epochs", "taken").withColumn("_n", F.row_number().over(same))
-    rows = docs.select(F.struct(*names).alias("_row"), key.alias("_i"), digest.alias("_h"))
-    rows = rows.withColumn("_m", F.row_number().over(W.partitionBy("_i", "_h").orderBy("_h")))
-    # the row's number isn't a key of the join, so that the windows' partitioning serves it
-    planned = rows.join(planned.where("taken > 0"), (F.col("_i") == F.col("_id")) & (F.col("_h") == F.col("_hash")) & (F.col("_n") - F.col("_m") == 0))
+    names, text = docs.columns, F.col("_row.text")
+    # rows are numbered and written; the plan is made on ids and sizes, and the texts are shuffled once, to meet it by number
+    rows = docs.select(F.struct(*names).alias("_row")).select("_row", words_of(text).alias("size"), F.monotonically_increasing_id().alias("_rid"))
+    rows = Scratch(docs.sparkSession).keep(rows.withColumn("_hash", F.xxhash64(text)))
+    sized = rows.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"), "size", "_hash", "_rid")
+    planned = _plan(sized, ["doc_id", "size", "_hash"], weights, share, most, seed).where("taken > 0").select("_rid", "epochs", "taken")
+    met = rows.select("_row", "size", "_rid").join(planned, "_rid")
     part = F.col("taken") - F.col("epochs") * F.col("size")
     takes = F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), F.when((part > 0), F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    rows = planned.select("_row", "size", F.explode(takes).alias("_words"))
-    pieces = F.regexp_extract_all(F.col("_row.text"), F.lit(GAP + WORD), F.lit(0))
+    taken = met.select("_row", "size", F.explode(takes).alias("_words"))
+    pieces = F.regexp_extract_all(text, F.lit(GAP + WORD), F.lit(0))
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_words").cast("int")), "")
     short = F.col("_words") < F.col("size")
     out = {c: F.col("_row")[c] for c in names}
-    text = out["text"]
     out["text"] = F.when(short, cut).otherwise(text)
     if "n_chars" in out:
         out["n_chars"] = F.when(short, F.length(cut).cast("long")).otherwise(out["n_chars"]).cast(dict(docs.dtypes)["n_chars"])
-    return rows.select(*[v.alias(k) for k, v in out.items()])
+    return taken.select(*[v.alias(k) for k, v in out.items()])

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import textnum
-from .common import Scratch, small_batches
+from .common import Scratch, bounded_batches
 
 N = 5
 PERCENT = 80
@@ -365,7 +365,7 @@ class NgramJoin:
         self.spark = docs.sparkSession
         self.docs, self.n, self.percent = docs.select("doc_id", "text"), n, percent
         self.scratch = Scratch(self.spark)
-        small_batches(self.spark, 1000)
+        bounded_batches(self.spark)
         for self.seed in range(5):
             self._index()
             if not self.reps.where("bad").limit(1).count():

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hash_key, prefix_sums, small_batches
+from .common import Scratch, bounded_batches, copy_numbers, hash_key, prefix_sums
 
 TOKENS = 1024
 END = 2
@@ -60,7 +60,7 @@ def cut(n: int, most: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, tokens: int = TOKENS, end: int = END, name: str = "byte_bpe_50k") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32."""
-    small_batches(docs.sparkSession, 1000)
+    bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,10 +131,12 @@ def runs(plan: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarray]
 
 def pack(docs: DataFrame, tokens: int = TOKENS, end: int = END, name: str = "byte_bpe_50k") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut_ = Scratch(docs.sparkSession).keep(pieces(docs, tokens, end, name))
+    cut_ = Scratch(docs.sparkSession).keep(pieces(docs, tokens, end, name).withColumn("_rid", F.monotonically_increasing_id()))
     counts = {r["length"]: r["n"] for r in cut_.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per length
     planned = runs(best_fit(counts, tokens))
-    ranked = prefix_sums(cut_.withColumn("_key", hash_key(F.col("doc_id"), F.col("start"))).withColumn("_one", F.lit(1).cast("bigint")), ["length"], ["_key", "doc_id", "start"], "_one", "_rank")
+    same = ["doc_id", "start", "ids_crc32"]
+    keyed = copy_numbers(cut_, ["length", *same], "_rid", "_copy").withColumn("_key", hash_key(*same, "_copy")).withColumn("_one", F.lit(1).cast("bigint"))
+    ranked = prefix_sums(keyed, ["length"], ["_key", *same, "_copy"], "_one", "_rank")
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import textnum
-from .common import Scratch, null_join, small_batches
+from .common import Scratch, bounded_batches, null_join
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SPREAD = 4.0
@@ -91,7 +91,7 @@ def count_slice(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 def count(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep` and the counts of each text."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     kept = docs.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + [f"{c} bigint" for c in _COUNTS])
 

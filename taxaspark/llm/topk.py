@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import small_batches
+from .common import bounded_batches
 
 K, EVERY = 20, 20
 SCALE = 64
@@ -123,7 +123,7 @@ def _by_length(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 def search(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each id divisible by `every`, its k highest integer inner products."""
     spark = vectors.sparkSession
-    small_batches(spark, 4)
+    bounded_batches(spark)
     rows = vectors.where(usable(F.col(vector)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), integers(F.col(vector), scale).alias("v"))
     queries, n_q = blocks(rows.where(F.col("id") % every == 0).dropDuplicates(["id", "v"]), QUERY_BLOCK, "q")
     held, _ = blocks(rows, VECTOR_BLOCK, "b")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded_batches
 
 #: (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -66,7 +66,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url
         return _by_suffix(judged, rules, id_col, url, default)
     reverse = F.when(F.col("host") == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split("host", r"\.", -1)), "."), F.lit(".")))
     # the path and the url itself spread a hot host over several ranges; each range is swept alone
-    small_batches(pages.sparkSession)
+    bounded_batches(pages.sparkSession)
     ranged = judged.withColumn("_key", reverse).repartitionByRange(F.col("_key"), F.col("path"), F.xxhash64(url, id_col)).sortWithinPartitions("_key")
     schema = f"{id_col} {dict(judged.dtypes)[id_col]}, host string, path string, rule string, verdict string"
     fixed = list(rules)

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from taxaspark.llm import chat, language, lm, mix, ngram_join, packing, quality, secrets, textnum, topk, url_filter
+from taxaspark.llm import chat, common, language, lm, mix, ngram_join, packing, quality, secrets, textnum, topk, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = [
@@ -138,6 +139,37 @@ def test_mix(spark, odd, none):
     assert mix.plan_mix(none).count() == 0 and mix.mix(none).count() == 0
 
 
+def test_copies_are_numbered_alike_however_dealt(spark):
+    rows = [(1, "a")] * 50 + [(2, None)] * 7 + [(None, "b")] * 3 + [(k, "c") for k in range(9)]
+    df = spark.createDataFrame(rows, "id long, x string")
+    found = []
+    for n in (1, 5):
+        put = df.repartition(n).withColumn("_rid", F.monotonically_increasing_id())
+        found.append(sorted(map(str, common.copy_numbers(put, ["id", "x"], "_rid", "n").select("id", "x", "n").collect())))
+    assert found[0] == found[1]
+    assert [r["n"] for r in common.copy_numbers(df.repartition(3).withColumn("_rid", F.monotonically_increasing_id()), ["id", "x"], "_rid", "n").where("id = 1 and x = 'a'").orderBy("n").collect()] == list(range(50))
+
+
+def test_equal_rows_are_taken_once_each(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s")] * 40 + [(2, "d e", "s"), (3, "f g h i", "t")], "doc_id long, text string, source string")
+    planned = mix.plan_mix(docs.repartition(4)).collect()
+    assert len(planned) == 42
+    mixed = mix.mix(docs.repartition(4)).collect()
+    words = lambda s: sum(len(r["text"].split()) for r in mixed if r["source"] == s)
+    for s in "st":
+        assert words(s) == sum(r["taken"] for r in planned if r["source"] == s) == round(next(r["target"] for r in planned if r["source"] == s))
+
+
+def test_scratch_tables_go(spark):
+    old = set(common.Scratch._open)
+    kept = common.Scratch(spark)
+    df = kept.keep(spark.range(3))
+    path = df.scratch_path.removeprefix("file://").removeprefix("file:")
+    assert os.path.isdir(path) and df.count() == 3
+    common.Scratch.drop_all(but=old)
+    assert not os.path.isdir(path)
+
+
 def test_targets_of_empty_sources(spark):
     sizes = spark.createDataFrame([("a", 0), ("b", 10), ("c", 1)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mix.targets(sizes).collect()}
