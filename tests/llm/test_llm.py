@@ -298,75 +298,118 @@ def test_bounds_hold():
 # --- 6 ---------------------------------------------------------------------------------------
 
 
+def hashed_words(text):
+    _, _, data, offsets = next(textnum.slices(pa.array([text])))
+    return textnum.words(data, offsets, fold=True)[0]
+
+
+def around_of(ids):
+    flat, at = lm.padded(ids, np.array([0, len(ids)]))
+    return flat[at[:, None] + lm._SHIFTS]
+
+
 def test_lm_learns(spark, odd, none):
     rnd = random.Random(2)
-    rows = [(i, " ".join(["the", "cat", "sat", "on", "the", "mat"] * rnd.randint(5, 20)), "en", "s", 1) for i in range(150)]
-    rows.append((999, " ".join(rnd.choice(["the", "cat", "sat", "on", "mat"]) for _ in range(60)), "en", "s", 1))
-    df = spark.createDataFrame(rows, DOCS)
-    named = lm.vocabulary(df)
-    assert len(named) == 5
-    weights = lm.train(df, named, rounds=3, share=3)  # every text is in a round
-    mean = {}
-    for i in (0, 150):
-        _, _, data, offsets = next(textnum.slices(pa.array([rows[i][1]])))
-        ids = lm.Encoder(named)(textnum.words(data, offsets, fold=True)[0])
-        mean[i] = lm.log_probabilities(weights, ids, lm.contexts(ids, np.array([0, len(ids)]))).mean()
-    assert mean[0] > -np.log(lm._VOCAB) / 2 and mean[150] < mean[0] - 0.5
-    got = {r["doc_id"]: r for r in lm.score(df).collect()}
+    rows = [(i, " ".join(["the", "cat", "sat", "on", "the", "mat"] * rnd.randint(20, 60)), "en", "s", 1) for i in range(1500)]
+    rows.append((9999, " ".join(rnd.choice(["the", "cat", "sat", "on", "mat"]) for _ in range(60)), "en", "s", 1))
+    got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[0]["mean_score"] > -np.log(5) / 2 and got[9999]["mean_score"] < got[0]["mean_score"] - 0.5
     assert got[0]["n_words"] == len(rows[0][1].split()) and got[0]["score"] == pytest.approx(got[0]["mean_score"] * got[0]["n_words"])
     end = {r["doc_id"]: r["score"] for r in lm.score(odd).collect()}
     assert end[1] == end[2] == end[3] == 0 and end[5] < 0
     assert lm.score(none).count() == 0
 
 
-def test_lm_trains_on_every_text(spark):
-    rows = [(i, f"text {i}") for i in range(300)] + [(1000 + i, "copy of one text") for i in range(300)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    rounds = {r["doc_id"]: r["k"] for r in df.select("doc_id", lm.round_of(df.columns).alias("k")).collect()}
-    assert len(rounds) == len(rows) and set(rounds.values()) == set(range(lm.ROUNDS))
-    assert {rounds[1000 + i] for i in range(300)} == set(range(lm.ROUNDS))  # copies share no fate
-    named = lm.vocabulary(df)
+def test_lm_follows_from_the_table_alone(spark):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice("abcdefghij") * rnd.randint(1, 3) for _ in range(40)), "en", "s", 1) for i in range(200)] + [(7, "twice the same row", "en", "s", 1)] * 30
+    df = spark.createDataFrame(rows, DOCS)
+    found = []
+    for n in (1, 7):
+        put = df.repartition(n)
+        words = lm.vocabulary(lm.word_counts(put))
+        weights = lm.train(lm.encode(put, ["doc_id"], words).cache(), words.counts, shard_words=500)
+        found.append((lm.pack(weights), sorted((r["doc_id"], r["score"]) for r in lm.score(put, shard_words=500).collect())))
+    assert (found[0][0] == found[1][0]).all()
+    assert all(x[0] == y[0] and x[1] == pytest.approx(y[1], rel=1e-5) for x, y in zip(found[0][1], found[1][1], strict=True))
+
+
+def test_lm_trains_on_every_text(spark, monkeypatch):
+    monkeypatch.setattr(lm, "RATE", 0.3)
     for text in ("text 0", "copy of one text"):  # with the production constants, one text is always learned from
-        one = spark.createDataFrame([(i, text) for i in range(2)], "doc_id long, text string")
-        assert (lm.pack(lm.train(one, named)) != lm.pack(lm.start())).any()
+        one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        words = lm.vocabulary(lm.word_counts(one))
+        assert (lm.pack(lm.train(lm.encode(one, ["doc_id"], words), words.counts)) != lm.pack(lm.start(words.counts))).any()
+    rows = [(i, "copy of one text") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = lm.encode(df, ["doc_id"], lm.vocabulary(lm.word_counts(df))).select(F.pmod("_key", F.lit(3)).alias("s"), "_fresh").distinct().collect()
+    assert {r["s"] for r in dealt} == {0, 1, 2} and {r["_fresh"] for r in dealt} == {True}  # copies share no fate
+
+
+def test_lm_probabilities_match_plain_version():
+    rnd = np.random.default_rng(1)
+    counts = rnd.integers(1, 50, lm.ENTRIES)
+    w = {k: v + rnd.normal(0, 0.2, v.shape).astype("f4") for k, v in lm.start(counts).items()}
+    context = rnd.integers(0, lm.ENTRIES + 1, (1, 4))
+    ids = np.arange(lm.ENTRIES)
+    got = lm.log_probabilities(w, ids, np.repeat(context, lm.ENTRIES, 0))
+    assert np.exp(got).sum() == pytest.approx(1, abs=1e-4)  # over all entries
+    h = np.tanh(w["b"] + sum(w["e"][k][context[0, k]] for k in range(4)))
+    norm = lambda s: s - np.log(np.exp(s).sum())
+    classes = norm(h @ w["u"] + w["d"])
+    for i in (0, 70, 4095):
+        c, m = divmod(i, lm.MEMBERS)
+        assert got[i] == pytest.approx(classes[c] + norm(h @ w["v"][c] + w["m"][c])[m], abs=1e-4)
 
 
 @pytest.mark.parametrize("sent", [0, 1 << 16])
-def test_lm_tells_rare_words_apart(spark, monkeypatch, sent):
+def test_lm_scores_match_plain_version(spark, monkeypatch, sent):
     monkeypatch.setattr(lm, "SENT", sent)
-    names = [f"w{i}" for i in range(300)]
-    rows = [(i, " ".join([f"f{k}" for k in range(lm.NAMED)] * 10)) for i in range(2)] + [(10, " ".join(n for i, n in enumerate(names) for _ in range(1 + i % 7)))]
-    _, _, data, offsets = next(textnum.slices(pa.array([" ".join(names)])))
-    bucket = ((textnum.words(data, offsets, fold=True)[0] >> np.uint64(40)) % np.uint64(lm.BUCKETS)).tolist()
-    count, total = {n: 1 + i % 7 + 1 for i, n in enumerate(names)}, Counter()  # each stands once more below
-    for n, k in zip(names, bucket, strict=True):
-        total[k] += count[n]
-    rows += [(100 + i, n) for i, n in enumerate(names)]
-    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert len(got) == len(rows)
-    seen = defaultdict(set)  # the score of a lone word, less its share, is its bucket's
-    for i, (n, k) in enumerate(zip(names, bucket, strict=True)):
-        seen[k].add(round(got[100 + i] - np.log(count[n] / total[k]), 3))
-    assert all(max(x) - min(x) < 0.01 for x in seen.values()) and len({round(v, 4) for v in got.values()}) > 100
-    assert got[10] < 0 and got[0] < 0
+    rnd = random.Random(9)
+    rows = [(i, " ".join(f"f{k}" for k in range(lm.NAMED) for _ in range(3))) for i in range(2)]
+    rows += [(10 + i, " ".join(f"w{int(rnd.expovariate(0.02))}" for _ in range(rnd.randint(0, 30)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = Counter(x for _, t in rows for x in t.split())
+    words = lm.vocabulary(lm.word_counts(df))
+    weights = lm.train(lm.encode(df, ["doc_id"], words), words.counts)
+    entry = {x: int(words(hashed_words(x))[0][0]) for x in counts}
+    mass = Counter()
+    for x, n in counts.items():
+        mass[entry[x]] += n
+    assert all(words.counts[e] == n for e, n in mass.items()) and words.counts.sum() == sum(counts.values())
+    got = {r["doc_id"]: r["score"] for r in lm.score(df).collect()}
+    for i, text in rows:
+        ids = np.array([entry[x] for x in text.split()], int)
+        want = lm.log_probabilities(weights, ids, around_of(ids)).sum() + sum(np.log(counts[x] / mass[entry[x]]) for x in text.split()) if len(ids) else 0
+        assert got[i] == pytest.approx(want, rel=1e-4, abs=1e-4)
 
 
 def test_lm_gradient():
     rnd = np.random.default_rng(1)
-    w = lm.start()
-    ids, around = rnd.integers(0, lm._VOCAB, 64), rnd.integers(0, lm._VOCAB + 1, (64, 4))
-    before = lm.log_probabilities(w, ids, around).mean()
-    g2 = {k: np.zeros(v.shape, "f4") for k, v in w.items()}
+    w = {k: v.astype(float) for k, v in lm.start(np.ones(lm.ENTRIES, int)).items()}
+    ids, around = rnd.integers(0, lm.ENTRIES, 64), rnd.integers(0, lm.ENTRIES + 1, (64, 4))
+    loss = lambda: -lm.log_probabilities(w, ids, around).mean()
+    dense, per, _ = lm.gradients(w, ids, around)
+    c, gv, gm = per[0]
+    for array, at, want in ((w["u"], (3, 5), dense["u"][3, 5]), (w["d"], (5,), dense["d"][5]), (w["b"], (2,), dense["b"][2]), (w["v"], (c, 1, 4), gv[1, 4]), (w["m"], (c, 4), gm[4])):
+        keep, eps = array[at], 1e-3
+        array[at] = keep + eps
+        up = loss()
+        array[at] = keep - eps
+        assert (up - loss()) / (2 * eps) == pytest.approx(want, abs=1e-5)
+        array[at] = keep
+    w = lm.start(np.ones(lm.ENTRIES, int))
+    before, g2 = loss(), {k: np.full(v.shape, 1e-6, "f4") for k, v in w.items()}
     for _ in range(20):
         lm.step(w, g2, ids, around)
-    assert lm.log_probabilities(w, ids, around).mean() > before + 1
+    assert loss() < before - 1
     assert lm.pack(lm.unpack(lm.pack(w))).tolist() == lm.pack(w).tolist()
 
 
 def test_contexts_stay_in_their_row():
-    got = lm.contexts(np.array([1, 2, 3, 4, 5]), np.array([0, 3, 3, 5]))
-    e = lm._EDGE
-    assert got.tolist() == [[e, e, 2, 3], [e, 1, 3, e], [1, 2, e, e], [e, e, 5, e], [e, 4, e, e]]
+    flat, at = lm.padded(np.array([1, 2, 3, 4, 5]), np.array([0, 3, 3, 5]))
+    e = lm.EDGE
+    assert flat[at[:, None] + lm._SHIFTS].tolist() == [[e, e, 2, 3], [e, 1, 3, e], [1, 2, e, e], [e, e, 5, e], [e, 4, e, e]]
 
 
 # --- 7 ---------------------------------------------------------------------------------------
