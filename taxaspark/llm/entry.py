@@ -12,7 +12,7 @@ from .common import table
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_copies")
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_copies", "n_links")
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

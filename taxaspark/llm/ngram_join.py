@@ -19,10 +19,16 @@ members of different components meet in blocks within a task, and only pairs tha
 Every link is verified on the sets themselves, after odd sketches (parities of hashed shingles, a
 lower bound of the difference) have thrown out distant pairs. Shingles and sets are identified by
 64-bit hashes; two different sets of one identity are detected by a second hash, and the join then
-runs again with another seed. Texts equal as sets are one class throughout.
+runs again with another seed, and raises if five seeds fail. Texts equal as sets are one class throughout.
 
-Null, empty and blank texts have no shingles and link with nothing. Repeated rows are copies of each
-other. An empty table gives an empty result; columns other than the id and the text are ignored.
+The number of links of each document is exact. Where no common bucket took part, the links found are all
+there are. A component that holds members of common buckets is counted anew: its classes meet in blocks of
+about `BLOCK_SHINGLES` shingles, a task multiplies the two blocks' membership matrices, and only the counts
+come out. That work grows with the square of a group of near copies (not of equal texts, which are one class).
+
+A document is a row: rows of one id with other texts are documents of their own. Null, empty and blank texts
+have no shingles and link with nothing; so do rows without id, whose component is null. Repeated rows are copies
+of each other. An empty table gives an empty result; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -46,6 +52,8 @@ PERCENT = 80
 LIMIT = 8
 #: Rounds of pivots for common buckets, the members that must be left for another round, and the members of a block.
 PIVOTS, PIVOT_ABOVE, BLOCK = 2, 64, 1024
+#: Shingles of a block in which a component's links are counted, and columns that are multiplied at once.
+BLOCK_SHINGLES, COLUMNS = 1 << 18, 4096
 #: Ids of needed texts are broadcast up to this many (8 bytes each); above, they are joined by shuffle.
 FEW_IDS = 1_000_000
 U64 = np.uint64
@@ -94,7 +102,7 @@ def _segments(lo: int, hi: int, percent: int) -> tuple[int, int]:
 #: What a set that is too light for its space costs, in rows.
 _LIGHT = 5_000
 _SIGNED = pa.schema([("sig", pa.int64()), ("sid", pa.int64()), ("meta", pa.int64()), ("fact", pa.binary())])
-_REDUCED = "kind tinyint, a bigint, b bigint, c bigint, d bigint, sketch binary"
+_REDUCED = "kind tinyint, a bigint, b bigint, c bigint, d bigint, sketch binary, e bigint"
 _N, _SLACK, _WEIGHT, _LESS, _PROBE = 0, 32, 47, 49, 50
 
 
@@ -165,7 +173,7 @@ def _signer(n: int, percent: int, seed: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within this task write their signatures once
         for b in batches:
-            docs = b.column(0)
+            docs, texts = b.column(0), b.column(2).to_numpy()
             for i, values, counts, ids, second in _sets(b.column(1), n, seed):
                 facts, fresh = [], np.zeros(len(counts), bool)
                 ends = np.cumsum(counts)
@@ -177,7 +185,7 @@ def _signer(n: int, percent: int, seed: int):
                         fresh[r] = True
                     if k:
                         sketch = _sketch(values[ends[r] - k : ends[r]])
-                    facts.append(np.array([doc is not None, doc or 0, second[r], k], np.int64).tobytes() + sketch)
+                    facts.append(np.array([doc is not None, doc or 0, second[r], k, texts[i + r]], np.int64).tobytes() + sketch)
                 if len(seen) > _SEEN:
                     seen.clear()
                 sids = pa.array(ids)
@@ -189,12 +197,12 @@ def _signer(n: int, percent: int, seed: int):
 
 
 def _reducer(percent: int):
-    def out(kind: int, a, b, c=None, d=None, sketch=None) -> pa.RecordBatch:
+    def out(kind: int, a, b, c=None, d=None, sketch=None, e=None) -> pa.RecordBatch:
         n = len(a)
         longs = lambda x: pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, kind, np.int8)), longs(a), longs(b), longs(c), longs(d), pa.nulls(n, pa.binary()) if sketch is None else pa.array(sketch, pa.binary())],
-            names=["kind", "a", "b", "c", "d", "sketch"],
+            [pa.array(np.full(n, kind, np.int8)), longs(a), longs(b), longs(c), longs(d), pa.nulls(n, pa.binary()) if sketch is None else pa.array(sketch, pa.binary()), longs(e)],
+            names=["kind", "a", "b", "c", "d", "sketch", "e"],
         )
 
     def pairs(sid: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,8 +223,8 @@ def _reducer(percent: int):
             if fact.any():
                 at = np.flatnonzero(fact)
                 blobs = b.column(3).take(pa.array(at)).to_pylist()
-                head = np.frombuffer(b"".join(x[:32] for x in blobs), np.int64).reshape(-1, 4)
-                yield out(0, rows[1][at], pa.array(head[:, 1], mask=head[:, 0] == 0), head[:, 3], head[:, 2], [x[32:] for x in blobs])
+                head = np.frombuffer(b"".join(x[:40] for x in blobs), np.int64).reshape(-1, 5)
+                yield out(0, rows[1][at], pa.array(head[:, 1], mask=head[:, 0] == 0), head[:, 3], head[:, 2], [x[40:] for x in blobs], head[:, 4])
                 rows = [x[~fact] for x in rows]
             sig, sid, meta = (np.concatenate(x) for x in zip(held, rows, strict=True))
             if common is not None:
@@ -287,24 +295,7 @@ def _far(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatc
 
 def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows come by meeting of blocks; a meeting is held whole (two blocks at most). Yields the pairs that sketches can't tell apart."""
-
-    def groups() -> Iterator[list[pa.RecordBatch]]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for b in batches:
-            meet = b.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(meet[1:] != meet[:-1]) + 1).tolist(), len(meet)]
-            for x, y in zip(cuts, cuts[1:], strict=False):
-                if y > x:
-                    if held and meet[x] != last:
-                        yield held
-                        held = []
-                    held.append(b.slice(x, y - x))
-                    last = meet[x]
-        if held:
-            yield held
-
-    for parts in groups():
+    for parts in _meetings(batches):
         sid, label, n, side = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (1, 2, 3, 4))
         raw = [x for p in parts for x in p.column(5).to_pylist()]
         size = min(map(len, raw))
@@ -355,6 +346,65 @@ def _verifier(n: int, seed: int):
     return verify
 
 
+def _set_rows(batches: Iterator[pa.RecordBatch], n: int, seed: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for _, values, counts, ids, _ in _sets(b.column("text"), n, seed):
+            sets = [x.tobytes() for x in np.split(values, np.cumsum(counts)[:-1])] if len(counts) else []
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sets, pa.binary())], names=["sid", "shingles"])
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Rows come sorted by their first column: all rows of each of its values (two blocks at most)."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        meet = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(meet[1:] != meet[:-1]) + 1).tolist(), len(meet)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if y > x:
+                if held and meet[x] != last:
+                    yield held
+                    held = []
+                held.append(b.slice(x, y - x))
+                last = meet[x]
+    if held:
+        yield held
+
+
+def _count_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """For each class of a meeting, the documents across that it links with; by the exact sizes of all intersections."""
+    for parts in _meetings(batches):
+        sid, copies, side = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (1, 2, 3))
+        sets = [np.frombuffer(x, U64) for p in parts for x in p.column(4).to_pylist()]
+        size = np.array([len(x) for x in sets])
+        # shingles of a single set are in no intersection
+        _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        shared = held[column] > 1
+        column, row = (np.cumsum(held > 1) - 1)[column[shared]], row[shared]
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        first, second = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        place = np.zeros((2, len(sets)), np.int64) - 1
+        place[0, first], place[1, second] = np.arange(len(first)), np.arange(len(second))
+        common = np.zeros((len(first), len(second)))
+        for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            x, y = np.searchsorted(column, [a, a + COLUMNS])
+            sides = []
+            for k, count in enumerate((len(first), len(second))):
+                at = place[k, row[x:y]]
+                dense = np.zeros((count, min(COLUMNS, int(column[y - 1]) - a + 1)), "f4")
+                dense[at[at >= 0], column[x:y][at >= 0] - a] = 1
+                sides.append(dense)
+            common += sides[0] @ sides[1].T
+        link = common * 100 >= (size[first][:, None] + size[second][None, :] - common) * percent
+        link &= first[:, None] != second[None, :]
+        ids, degree = sid[first], link @ copies[second]
+        if (side != 2).any():
+            ids, degree = np.concatenate([ids, sid[second]]), np.concatenate([degree, link.T @ copies[first]])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(degree.astype(np.int64))], names=["sid", "degree"])
+
+
 _MEASURED = "a bigint, b bigint, ra bigint, rb bigint, na bigint, nb bigint"
 
 
@@ -370,14 +420,17 @@ class NgramJoin:
             self._index()
             if not self.reps.where("bad").limit(1).count():
                 break
+        else:
+            raise RuntimeError("different sets of one identity under each of five seeds")
+        self.labels, self.bucket = None, None
 
     def _index(self) -> None:
-        signed = self.docs.mapInArrow(_signer(self.n, self.percent, self.seed), "sig bigint, sid bigint, meta bigint, fact binary")
+        signed = self.docs.withColumn("_text", F.xxhash64("text")).mapInArrow(_signer(self.n, self.percent, self.seed), "sig bigint, sid bigint, meta bigint, fact binary")
         reduced = signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_reducer(self.percent), _REDUCED)
         self.reduced = self.scratch.keep(reduced)
-        self.facts = self.reduced.where("kind = 0").select(F.col("a").alias("sid"), F.col("b").alias("doc_id"), F.col("c").alias("n"), F.col("d").alias("second"), "sketch")
+        self.facts = self.reduced.where("kind = 0").select(F.col("a").alias("sid"), F.col("b").alias("doc_id"), F.col("c").alias("n"), F.col("d").alias("second"), "sketch", F.col("e").alias("text_hash"))
         reps = self.facts.where("n > 0").groupBy("sid").agg(
-            F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"), (F.min("second") != F.max("second")).alias("bad")
+            F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch"), F.count("doc_id").alias("copies"), (F.min("second") != F.max("second")).alias("bad")
         )
         self.reps = self.scratch.keep(reps)
 
@@ -420,6 +473,7 @@ class NgramJoin:
         bucket = keep(hot.withColumn("lost", lost).where("lost > slack - 1").select("sig", "sid", "probe"))
         if bucket.limit(1).count() == 0:
             return found
+        self.bucket = bucket
         labels, pivots = None, None
         for _ in range(PIVOTS):
             rows = self._labelled(bucket, labels)
@@ -460,45 +514,87 @@ class NgramJoin:
 
     @staticmethod
     def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-        own = F.concat(F.lit("s"), F.col("sid").cast("string"))
         if labels is None:
-            return rows.withColumn("label", own)
-        return rows.join(labels.select("sid", "label"), "sid", "left").withColumn("label", F.coalesce("label", own))
+            return rows.withColumn("label", F.col("sid"))
+        return rows.join(labels.select("sid", "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
     def components(self, links: DataFrame) -> DataFrame:
-        """(sid, rep, label): for each class in a link, the smallest document of its component, by large-star and small-star rounds."""
-        keep = self.scratch.keep
-        edges = keep(links.select(F.greatest("ra", "rb").alias("u"), F.least("ra", "rb").alias("v")).distinct())
+        """(sid, label): for each class in a link, the least class of its component, by large-star and small-star rounds."""
+        keep, drop = self.scratch.keep, self.scratch.drop
+        edges = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
         before = None
         while True:
             state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
             if state == before or state[0] == 0:
                 break
-            before = state
+            before, last = state, edges
             both = edges.union(edges.select("v", "u"))
             least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
             edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
             least = edges.groupBy("u").agg(F.min("v").alias("m"))
             edges = keep(edges.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
-        labels = edges.union(edges.select(F.col("v").alias("u"), "v")).distinct().toDF("rep", "label").withColumn("label", F.col("label").cast("string"))
-        ids = links.select(F.col("a").alias("sid"), F.col("ra").alias("rep")).union(links.select("b", "rb")).distinct()
-        return keep(ids.join(labels, "rep").select("sid", "rep", "label"))
+            drop(last)
+        return keep(edges.union(edges.select(F.col("v").alias("u"), "v")).distinct().toDF("sid", "label"))
+
+    def _degrees(self, links: DataFrame, labels: DataFrame) -> DataFrame:
+        """(sid, degree): for each class in a link, the documents of the other classes that it links with."""
+        copies = self.reps.select("sid", "copies")
+        both = links.select(F.col("a").alias("sid"), F.col("b").alias("_to")).union(links.select("b", "a"))
+        plain = both.join(copies.toDF("_to", "copies"), "_to").groupBy("sid").agg(F.sum("copies").alias("degree"))
+        if self.bucket is None:
+            return plain
+        hot = self.scratch.keep(labels.join(self.bucket.select("sid").distinct(), "sid", "left_semi").select("label").distinct())
+        members = labels.join(hot, "label", "left_semi").join(self.reps.where("rep is not null").select("sid", "rep", "n", "copies"), "sid")
+        plain = plain.join(members.select("sid"), "sid", "left_anti")
+        blocks = members.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+        put = members.join(blocks, "label").withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+        ids = self.scratch.keep(members.select(F.col("rep").alias("doc_id")).distinct())
+        texts = self.docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_semi").select("text")
+        n, seed, percent = self.n, self.seed, self.percent
+        sets = texts.mapInArrow(lambda rows: _set_rows(rows, n, seed), "sid bigint, shingles binary").groupBy("sid").agg(F.first("shingles").alias("shingles"))
+        met = put.join(sets, "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        side = F.when(F.col("mine") < F.col("other"), 0).when(F.col("mine") > F.col("other"), 1).otherwise(2)
+        meet = F.xxhash64("label", F.least("mine", "other"), F.greatest("mine", "other"))
+        met = met.select(meet.alias("meet"), "sid", "copies", side.alias("side"), "shingles").repartition("meet").sortWithinPartitions("meet")
+        counted = met.mapInArrow(lambda rows: _count_links(rows, percent), "sid bigint, degree bigint")
+        return plain.unionByName(counted.groupBy("sid").agg(F.sum("degree").alias("degree")))
+
+    def _found(self) -> tuple[DataFrame, DataFrame]:
+        if self.labels is None:
+            self.found = self.links()
+            self.labels = self.components(self.found)
+        return self.found, self.labels
 
     def classes(self) -> DataFrame:
-        """One row per document: doc_id, n_shingles, component_id (its own id if nothing links), n_copies (documents with the same set)."""
-        labels = self.components(self.links())
-        per = self.reps.select("sid", "rep", "copies").join(labels.select("sid", "label"), "sid", "left")
-        per = per.select("sid", F.coalesce(F.col("label").cast("bigint"), F.col("rep")).alias("component_id"), F.col("copies").alias("n_copies"))
-        alone = self.facts.where("n = 0").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_copies"))
-        linked = self.facts.where("n > 0").join(per, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies")
+        """One row per document: doc_id, n_shingles, component_id (its own id if nothing links), n_copies (documents with the same set), n_links (documents that it links with)."""
+        found, labels = self._found()
+        per = self._labelled(self.reps.select("sid", "rep", "copies"), labels)
+        least = per.groupBy("label").agg(F.min("rep").alias("component_id"))
+        degree = self._degrees(found, labels)
+        per = per.join(least, "label").join(degree, "sid", "left").select("sid", "component_id", F.col("copies").alias("n_copies"), (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"))
+        zero = F.lit(0).cast("bigint")
+        alone = self.facts.where("n = 0").select("doc_id", zero.alias("n_shingles"), F.col("doc_id").alias("component_id"), zero.alias("n_copies"), zero.alias("n_links"))
+        own = lambda c, other: F.when(F.col("doc_id").isNotNull(), F.col(c)).otherwise(other).alias(c)
+        linked = self.facts.where("n > 0").join(per, "sid").select("doc_id", F.col("n").alias("n_shingles"), own("component_id", F.lit(None)), own("n_copies", zero), own("n_links", zero))
         return linked.unionByName(alone)
 
-
     def representatives(self, docs: DataFrame) -> DataFrame:
-        """The rows of `docs` whose document is the smallest of its component. Rows of one id are one document, and rows without id stay."""
-        kept = self.classes().where("doc_id = component_id").select("doc_id").distinct()
-        found = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        return found.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+        """One row of `docs` of each component: that of the smallest id, and of its texts there the one of the least hash.
+
+        Of rows that are equal in id and text the least by a hash of all columns stays. Rows without id or without words stay all.
+        """
+        _, labels = self._found()
+        named = self._labelled(self.facts.where("n > 0 and doc_id is not null").select("sid", "doc_id", "text_hash"), labels)
+        kept = named.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")).distinct()
+        free = self.facts.where("n = 0 and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+        again = self.facts.where("n > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg((F.count(F.lit(1)) > 1).alias("_again"))
+        named = kept.join(again, ["_id", "_hash"]).unionByName(free.withColumn("_again", F.lit(False)))
+        rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+        met = rows.where("_id is not null").join(named, ["_id", "_hash"])
+        # only rows that come again are grouped
+        once = met.where("_again").groupBy("_id", "_hash").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+        out = met.where("not _again").select("_row").unionByName(once.select("_row")).unionByName(rows.where("_id is null").select("_row"))
+        return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:

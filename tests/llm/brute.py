@@ -15,7 +15,7 @@ def shingle_set(text, n=5):
 
 
 def near_duplicates(docs, n=5, percent=80):
-    """(doc_id, n_shingles, component_id) of (doc_id, text) rows, by comparing all that share a shingle."""
+    """(doc_id, n_shingles, component_id, n_links) of (doc_id, text) rows, by comparing all that share a shingle."""
     sets = [(d, shingle_set(t, n)) for d, t in docs]
     parent = list(range(len(sets)))
 
@@ -34,13 +34,16 @@ def near_duplicates(docs, n=5, percent=80):
         for a in range(len(h)):
             for b in range(a):
                 common[h[b], h[a]] += 1
+    links = [0] * len(sets)
     for (i, j), c in common.items():
         if 100 * c >= percent * (len(sets[i][1]) + len(sets[j][1]) - c):
             parent[root(i)] = root(j)
+            links[i] += 1
+            links[j] += 1
     least = defaultdict(lambda: float("inf"))
     for i, (d, _) in enumerate(sets):
         least[root(i)] = min(least[root(i)], d)
-    return sorted((d, len(s), least[root(i)]) for i, (d, s) in enumerate(sets))
+    return sorted((d, len(s), least[root(i)], links[i]) for i, (d, s) in enumerate(sets))
 
 
 def quality_counts(text):

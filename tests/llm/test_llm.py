@@ -72,18 +72,75 @@ def test_words_and_counts_match_plain_python(texts, most):
 # --- 1 ---------------------------------------------------------------------------------------
 
 
+JOINED = ["doc_id", "n_shingles", "component_id", "n_links"]
+
+
+def near_group(n, first, seed, words=120):
+    """Copies of one text with up to three words changed: more than a common bucket holds, some of them linked and some not."""
+    rnd = random.Random(seed)
+    base = [f"g{seed}_{i}" for i in range(words)]
+    rows = []
+    for k in range(n):
+        text = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            text[rnd.randrange(words)] = f"x{rnd.randrange(40)}"
+        rows.append((first + k, " ".join(text)))
+    return rows
+
+
 def test_join_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LIMIT", 4)
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
-    rows = corpus() + [(10_000, None), (10_001, ""), (10_002, " \n"), (10_003, "W1  w2"), (10_004, "w1 w2")]
-    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(tuple(r)[:3] for r in got.collect()) == brute.near_duplicates(rows)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 2000)
+    rows = corpus() + [(10_000, None), (10_001, ""), (10_002, " \n"), (10_003, "W1  w2"), (10_004, "w1 w2")] + near_group(70, 20_000, 1) + near_group(40, 30_000, 2, 12)
+    join = ngram_join.NgramJoin(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = join.classes().select(*JOINED)
+    want = brute.near_duplicates(rows)
+    assert sorted(map(tuple, got.collect())) == want and join.bucket is not None
+    assert max(x[3] for x in want) > 30  # the large groups have pairs that don't link
+
+
+def test_links_are_counted_alike_in_any_chunks(monkeypatch):
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 1 << 60, 50, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rnd.choice(base, rnd.integers(38, 50), replace=False), rnd.integers(0, 1 << 60, rnd.integers(0, 4), dtype=np.uint64)])) for _ in range(40)]
+    side = np.array([k % 2 for k in range(40)])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(40, int)), pa.array(range(40)), pa.array([1 + k % 3 for k in range(40)]), pa.array(side), pa.array([x.tobytes() for x in sets])], names=["meet", "sid", "copies", "side", "shingles"])
+    for whole in (False, True):
+        if whole:
+            batch = batch.set_column(3, "side", pa.array(np.full(40, 2)))
+        linked = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
+        want = {i: sum(1 + j % 3 for j in range(40) if i != j and (whole or side[i] != side[j]) and linked(i, j)) for i in range(40)}
+        for columns in (7, 4096):
+            monkeypatch.setattr(ngram_join, "COLUMNS", columns)
+            got = [b.to_pydict() for b in ngram_join._count_links(iter([batch]), 80)]
+            assert dict(zip(got[0]["sid"], got[0]["degree"], strict=True)) == want
+        assert any(want.values())
+
+
+def test_join_keeps_other_texts_of_an_id(spark):
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (1, "h i j k l m n"), (2, "h i j k l m n"), (3, "a b c d e f g"), (4, None), (4, None), (None, "a b c d e f g")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, extra long")
+    for n in (1, 3):
+        kept = sorted((r["doc_id"], r["text"]) for r in ngram_join.NgramJoin(df.repartition(n)).representatives(df).where("doc_id < 4").collect())
+        assert kept == [(1, "a b c d e f g"), (1, "h i j k l m n")]
+    join = ngram_join.NgramJoin(df)
+    assert join.representatives(df).count() == 5  # rows without words or id stay
+    got = sorted(map(str, join.classes().select(*JOINED).collect()))
+    want = [(1, 3, 1, 1), (1, 3, 1, 2), (1, 3, 1, 2), (2, 3, 1, 2), (3, 3, 1, 1), (4, 0, 4, 0), (4, 0, 4, 0), (None, 3, None, 0)]
+    assert got == sorted(f"Row(doc_id={a}, n_shingles={b}, component_id={c}, n_links={d})" for a, b, c, d in want)
+
+
+def test_join_gives_up_rather_than_err(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join.NgramJoin, "_index", lambda self: setattr(self, "reps", spark.createDataFrame([(True,)], "bad boolean")))
+    with pytest.raises(RuntimeError):
+        ngram_join.NgramJoin(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
 
 
 def test_join_odd_rows(odd, none):
-    got = {tuple(r)[:3] for r in ngram_join.near_duplicates(odd).collect()}
-    assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (5, 1, 5), (6, 1, 5)} <= got
+    got = {tuple(r) for r in ngram_join.near_duplicates(odd).select(*JOINED).collect()}
+    assert {(1, 0, 1, 0), (2, 0, 2, 0), (3, 0, 3, 0), (5, 1, 5, 2), (6, 1, 5, 2)} <= got
     assert ngram_join.near_duplicates(none).count() == 0
+    assert ngram_join.NgramJoin(none).representatives(none).count() == 0
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 9, 20, 60, 300, 3000])
@@ -533,7 +590,7 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in kept} == {r[0] for r in rows} - {2000, 2002}
     frame = spark.createDataFrame(kept, DOCS)
     alone = p.drop_near_duplicates(spark, frame, "")
-    want = {c for _, _, c in brute.near_duplicates([(r["doc_id"], r["text"]) for r in kept])}
+    want = {c for _, _, c, _ in brute.near_duplicates([(r["doc_id"], r["text"]) for r in kept])}
     assert sorted(r["doc_id"] for r in alone.collect()) == sorted(want) and alone.columns == docs.columns
     clean = p.redact_secrets(spark, alone, "")
     assert clean.columns == docs.columns and not clean.where("text like '%0123456789abcdef%'").count()
