@@ -499,23 +499,46 @@ def test_sketches_merge(spark):
 # --- 8 ---------------------------------------------------------------------------------------
 
 
-def test_url_rules(spark):
-    rules = url_filter.RULES + [("example.net", "/en/deep/", "block"), ("a.example.net", "/", "allow"), ("com", "/", "block")]
-    hosts = ["example.net", "a.example.net", "b.a.example.net", "myexample.net", "net", "x.org", "org", "example.com", "EXAMPLE.Com", "q.example.com", ""]
-    urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/en/", "/en/deep/x", "/de/1", "/fr/?/x", "?a=/en/", "#x", "/EN/")] + [None, "", "no scheme", "a://b://c/d"]
-    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    want = {}
+def plain_verdicts(urls, rules):
+    want, best_of = {}, {}
+    for h, p, v in rules:
+        h = h.translate(brute.LOWER)
+        best_of[h, p] = max(best_of.get((h, p), (False, "")), (v == "block", v))
     for i, u in enumerate(urls):
         rest = u.split("://", 1)[1] if u and "://" in u else ""
         host = re.match("[^/?#]*", rest)[0].translate(brute.LOWER)
         path = re.match("[^?#]*", rest[len(host) :])[0]
-        fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        best = max(fits, default=None)
+        best = max(((len(h + p), h + p, v) for (h, p), (_, v) in best_of.items() if (host == h or host.endswith("." + h)) and path.startswith(p)), default=None)
         want[i] = (i, host, path, best and best[1], best[2] if best else "allow")
-    for most in (1000, 0):
-        got = url_filter.filter_urls(pages, rules, most_rules=most).collect()
-        assert {r["page_id"]: tuple(r) for r in got} == want
+    return want
+
+
+def test_url_rules(spark):
+    rules = url_filter.RULES + [("example.net", "/en/deep/", "block"), ("a.example.net", "/", "allow"), ("com", "/", "block"), ("Org", "/de/", "block"), ("", "", "none")]
+    hosts = ["example.net", "a.example.net", "b.a.example.net", "myexample.net", "net", "x.org", "org", "example.com", "EXAMPLE.Com", "q.example.com", "", "a."]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/en/", "/en/deep/x", "/de/1", "/fr/?/x", "?a=/en/", "#x", "/EN/")] + [None, "", "no scheme", "a://b://c/d"]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string").withColumns({c: F.lit("extra") for c in ("path", "_key", "_range", "rule", "verdict")})
+    got = url_filter.filter_urls(pages, rules).collect()
+    assert {r["page_id"]: tuple(r) for r in got} == plain_verdicts(urls, rules)
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
+    assert {r["verdict"] for r in url_filter.filter_urls(pages, []).collect()} == {"allow"}
+
+
+def test_url_rules_over_many_ranges(spark):
+    rnd = random.Random(8)
+    name = lambda: ".".join(rnd.choice("abc") for _ in range(rnd.randint(1, 4)))
+    rules = [(name(), "/" + "x" * rnd.randint(0, 2), rnd.choice(["allow", "block", "other"])) for _ in range(150)]  # many clash
+    urls = [f"s://{name()}/{'x' * rnd.randint(0, 3)}" for _ in range(600)] + ["s://a.b/xx"] * 300
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = plain_verdicts(urls, rules)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        for together, rows in (("false", rules), ("true", rules[::-1])):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", together)
+            got = url_filter.filter_urls(pages, spark.createDataFrame(rows, "host string, path string, verdict string")).collect()
+            assert {r["page_id"]: tuple(r) for r in got} == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
 
 
 # --- 9 ---------------------------------------------------------------------------------------
