@@ -4,8 +4,10 @@ Texts are lower-cased, everything but letters becomes a blank, and n-grams of 1
 hashed to `DIMS` features; a text is the L2-normalised vector of counts times inverse document
 frequency, over its whole length. Document frequencies come from every row that may be learned from.
 The weights are fitted by follow-the-regularised-leader (per-coordinate steps, L1 and L2 penalties) on
-a sample of at most `SAMPLE` rows per language and `LANGUAGES` languages, drawn by hash; a fifth of
-the sample is set aside to fit the temperature by which scores are divided before the softmax.
+a sample of labelled rows: of each language, however rare, the `SAMPLE` distinct rows of the least hashes
+of id and text that have a letter (the bound is the parameter `most`; equal rows count once). A fifth of
+the sample is set aside to fit the temperature by which scores are divided before the softmax. The sample,
+and so the model, follows from the rows alone, in whatever order they come.
 
 Learning uses text and non-null labels only; prediction uses the text alone. A text that is null or
 has no letter gets `und` and score 0, and so does every text if nothing can be learned. Repeated rows
@@ -21,15 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import textnum
-from .common import bounded_batches, hash_key
+from .common import Scratch, bounded_batches, hash_key
 
 DIMS = 1 << 14
 GRAMS = 3
-#: Bounds of the sample: rows of a language, and languages (the most frequent ones).
-SAMPLE, LANGUAGES = 1000, 256
+#: Bound of the labelled sample: rows of a language.
+SAMPLE = 1000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 4
 UNKNOWN = "und"
 _chars: list[np.ndarray] = []
@@ -100,15 +103,15 @@ def document_frequencies(texts: DataFrame, dims: int = DIMS) -> tuple[np.ndarray
 
 
 def sample(labelled: DataFrame, dims: int = DIMS, most: int = SAMPLE) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """The languages, and for at most `most` rows of each the features with their counts and the label's number."""
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    langs = sorted(r["lang"] for r in sizes)
-    if not langs:
-        return [], [], np.zeros(0, int)
-    share = {r["lang"]: min(1.0, 1.3 * most / r["n"] + 20 / r["n"]) for r in sizes}  # of the key's range; about 1.3 times what is kept
-    key = hash_key(F.col("doc_id"), F.col("text"), seed=3)  # copies of one text are drawn apart
-    limit = F.element_at(F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(min(int(v * 2**62), 2**62 - 1)).cast("bigint") * 2 + 1)]), F.col("lang"))
-    drawn = labelled.withColumn("_key", key).where(F.col("lang").isin(langs)).where(F.col("_key") <= limit).select("_key", "lang", "text")
+    """The languages, and for at most `most` rows of each the features with their counts and the label's number.
+
+    The least hashes of a language are numbered within parts of the hash first, so its rows never meet in one task.
+    """
+    keyed = labelled.where(F.col("text").rlike(r"\p{L}")).select(hash_key(F.col("doc_id"), F.col("text"), seed=3).alias("_key"), "lang", "text")  # copies with other ids are drawn apart
+    ids = keyed.select("lang", "_key").distinct().withColumn("_part", F.pmod("_key", F.lit(64)))
+    for w in (W.partitionBy("lang", "_part"), W.partitionBy("lang")):
+        ids = ids.withColumn("_i", F.row_number().over(w.orderBy("_key"))).where(F.col("_i") <= most).drop("_i")
+    ids = Scratch(labelled.sparkSession).keep(ids.select("lang", "_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,16 +124,12 @@ def sample(labelled: DataFrame, dims: int = DIMS, most: int = SAMPLE) -> tuple[l
                     names=["_key", "lang", "at", "n"],
                 )
 
-    got = drawn.mapInArrow(run, "_key bigint, lang string, at binary, n binary").limit(3 * (most + 20) * len(langs))  # reached only if one row is repeated without end
-    got = sorted(got.collect(), key=lambda r: (r["_key"], r["lang"], r["at"]))
-    kept: dict[str, int] = {}
-    xs, ys = [], []
-    for r in got:
-        if len(r["at"]) and kept.get(r["lang"], 0) < most:
-            kept[r["lang"]] = kept.get(r["lang"], 0) + 1
-            xs.append((np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<f4").astype(float)))
-            ys.append(langs.index(r["lang"]))
-    return langs, xs, np.array(ys, int)
+    drawn = keyed.join(ids, ["lang", "_key"], "left_semi").dropDuplicates(["lang", "_key"]).select("_key", "lang", "text")
+    got = drawn.mapInArrow(run, "_key bigint, lang string, at binary, n binary").collect()  # `most` rows of each language
+    got = sorted((r for r in got if len(r["at"])), key=lambda r: (r["_key"], r["lang"]))
+    langs = sorted({r["lang"] for r in got})
+    xs = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<f4").astype(float)) for r in got]
+    return langs, xs, np.array([langs.index(r["lang"]) for r in got], int)
 
 
 def fit(xs: list[tuple[np.ndarray, np.ndarray]], ys: np.ndarray, classes: int, idf: np.ndarray) -> tuple[np.ndarray, float]:
@@ -188,10 +187,8 @@ def train(docs: DataFrame, dims: int = DIMS, most: int = SAMPLE):
     bounded_batches(docs.sparkSession)
     labelled = docs.where(may_learn(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     langs, xs, ys = sample(labelled, dims, most)
-    have = sorted({*ys.tolist()})
-    if not have:
+    if not langs:
         return [], np.zeros((dims, 0)), np.zeros(0), np.zeros(dims), 1.0
-    langs, ys = [langs[k] for k in have], np.searchsorted(have, ys)
     df, rows = document_frequencies(labelled, dims)
     idf = np.log((1 + rows) / (1 + df)) + 1
     w, t = fit(xs, ys, len(langs), idf)
@@ -204,7 +201,7 @@ def predict(docs: DataFrame, model, keep: list[str], text: str = "text") -> Data
     langs, w, bias, idf, t = model
     kept = docs.select(*keep, F.col(text).alias("_text"))
     schema = StructType([*kept.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    weights = docs.sparkSession.sparkContext.broadcast((np.ascontiguousarray(w), idf))  # DIMS x LANGUAGES numbers at most
+    weights = docs.sparkSession.sparkContext.broadcast((np.ascontiguousarray(w), idf))  # DIMS numbers for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, idf = weights.value
@@ -215,8 +212,10 @@ def predict(docs: DataFrame, model, keep: list[str], text: str = "text") -> Data
                 if langs:
                     grams, firsts, has = features(data, offsets, dims)
                     for r in np.flatnonzero(has):
-                        v = _counts(grams, firsts, r, dims) * idf
-                        s = (v @ w / math.sqrt(v @ v) + bias) / t
+                        n = _counts(grams, firsts, r, dims)
+                        at = np.flatnonzero(n)
+                        v = n[at] * idf[at]
+                        s = (v @ w[at] / math.sqrt(v @ v) + bias) / t
                         p = np.exp(s - s.max())
                         k = int(p.argmax())
                         names[r], scores[r] = langs[k], p[k] / p.sum()
