@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,3 +124,42 @@ def null_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
         c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
         cond = c if cond is None else cond & c
     return left.join(right, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], zero: int = 0, chunk: int = 128) -> Column:
+    """For each place of an array of longs, all values before it combined. Arrays are taken in chunks, so the steps grow with
+    the length and not with its square (up to `chunk` squared values)."""
+    first = F.lit(zero).cast("bigint")
+    fold = lambda a, b: combine(a, b)
+
+    def scan(a: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / chunk).cast("int")), lambda c: F.slice(a, c * chunk + 1, F.lit(chunk)))
+        within = lambda p, base: F.transform(p, lambda _, i: F.aggregate(F.slice(p, F.lit(1), i), base, fold))
+        spread = lambda ps, totals: F.flatten(F.transform(ps, lambda p, c: let(F.aggregate(F.slice(totals, F.lit(1), c), first, fold), lambda base: within(p, base))))
+        whole = let(parts, lambda ps: let(F.transform(ps, lambda p: F.aggregate(p, first, fold)), lambda totals: spread(ps, totals)))
+        return F.when(F.size(a) > 0, whole).otherwise(F.array().cast("array<bigint>"))
+
+    return let(values, scan)
+
+
+#: A key that more rows hold than this is dealt to several tasks.
+HOT = 100_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, how: str = "inner", hot: int = HOT) -> DataFrame:
+    """An equi-join on which nulls meet, of many left rows with one right row a key. `counts` has the keys and `_n`, the left rows of each.
+
+    Keys of more than `hot` rows are few (rows / hot at most) and sent to all tasks; their left rows are dealt to
+    so many parts, and their right row is written once for each part.
+    """
+    parts = counts.where(F.col("_n") > hot).select(*keys, F.ceil(F.col("_n") / hot).cast("int").alias("_parts"))
+    one = F.coalesce("_parts", F.lit(1))
+    put = lambda df: null_join(df, F.broadcast(parts), keys, "left")
+    left = put(left).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), one).cast("int")).drop("_parts")
+    right = put(right).withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_parts")
+    return null_join(left, right, [*keys, "_salt"], how).drop("_salt")

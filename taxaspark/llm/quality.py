@@ -2,10 +2,12 @@
 
 Counts are taken over each whole text. Fixed base rules come first. Then each document is held
 against its own language and source: quantile sketches of four ratios give quartiles, and a document
-goes if a ratio lies beyond a fence of `SPREAD` interquartile ranges (and at least a fixed distance)
-outside them. A sketch is a table of counts over bins of equal ratio (1 + `ACCURACY` wide), so sketches
-merge by adding and give the same answer however the rows were dealt. Groups of fewer than `LEAST`
-documents use the merged sketch of their language, and small languages that of the corpus.
+goes if a ratio lies beyond a fence of `SPREAD` interquartile ranges (and at least a stated distance, since
+the quartiles of rare things are equal) outside them. A sketch is a table of counts over bins of equal ratio
+(1 + `ACCURACY` wide), so sketches merge by adding and give the same answer however the rows were dealt.
+Quartiles of a group of n documents are blended with those of its language, weighing n to `PRIOR`, and those
+of the language in the same way with the corpus': there is no size at which the rule changes, and a source
+of a few hundred documents is judged by itself, whatever other sources hold.
 
 Null text has no words and fails the base rules. Null language or source is a group of its own.
 Repeated rows count each. An empty table gives an empty result; other columns are ignored.
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -28,7 +30,8 @@ from .common import Scratch, bounded_batches, null_join
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SPREAD = 4.0
 ACCURACY = 0.02
-LEAST = 200
+#: How many documents of its own a group needs to weigh as much as what it is part of.
+PRIOR = 20
 #: ratio: (numerator, denominator, distance from the quartiles that is always allowed)
 RATIOS = {
     "word_length": ("word_chars", "n_words", 1.0),
@@ -122,32 +125,39 @@ def merged(sketch: DataFrame, groups: list[str]) -> DataFrame:
     return sketch.groupBy(*groups, "ratio", "bin").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """One row per group: how many documents, and for each ratio the lowest and highest value allowed."""
+def quartiles(sketch: DataFrame, groups: list[str], tag: str = "") -> DataFrame:
+    """Per group and ratio: docs, q1 and q3, named with the tag."""
     log = math.log1p(ACCURACY)
     w = W.partitionBy(*groups, "ratio")
     at = sketch.withColumn("upto", F.sum("n").over(w.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
     value = F.when(F.col("bin") == 0, 0.0).otherwise(F.exp((F.col("bin") - 1_000_000 - 0.5) * log))
     quart = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, value))
-    per = at.groupBy(*groups, "ratio").agg(F.max("all").alias("docs"), quart(0.25).alias("q1"), quart(0.75).alias("q3"))
-    aggs = [F.max("docs").alias("docs")]
+    return at.groupBy(*groups, "ratio").agg(F.max("all").alias(f"{tag}docs"), quart(0.25).alias(f"{tag}q1"), quart(0.75).alias(f"{tag}q3"))
+
+
+def blended(own: Column, docs: Column, whole: Column) -> Column:
+    return (own * docs + whole * PRIOR) / (docs + PRIOR)
+
+
+def fences(by_source: DataFrame) -> DataFrame:
+    """From sketches by lang and source: one row per group, and for each ratio the lowest and highest value allowed."""
+    by_lang = merged(by_source, ["lang"])
+    levels = null_join(quartiles(by_source, ["lang", "source"]), quartiles(by_lang, ["lang"], "l_"), ["lang", "ratio"])
+    levels = null_join(levels, quartiles(merged(by_lang, []), [], "c_"), ["ratio"])
+    q = {k: blended(F.col(k), F.col("docs"), blended(F.col(f"l_{k}"), F.col("l_docs"), F.col(f"c_{k}"))) for k in ("q1", "q3")}
+    levels = levels.select("lang", "source", "ratio", q["q1"].alias("q1"), q["q3"].alias("q3"))
+    aggs = []
     for k, (_, _, far) in RATIOS.items():
         reach = F.greatest(F.lit(far), SPREAD * (F.col("q3") - F.col("q1")))
         aggs += [F.max(F.when(F.col("ratio") == k, F.col("q1") - reach)).alias(f"lo_{k}"), F.max(F.when(F.col("ratio") == k, F.col("q3") + reach)).alias(f"hi_{k}")]
-    return per.groupBy(*groups).agg(*aggs) if groups else per.agg(*aggs)
+    return levels.groupBy("lang", "source").agg(*aggs)
 
 
 def judge(counted: DataFrame) -> DataFrame:
     """Adds base_failed and kept to counted rows (with lang and source); reads them twice."""
-    ok = counted.where(~base_failed())
-    by_source = sketches(ok, ["lang", "source"])
-    by_lang = merged(by_source, ["lang"])
     names = [f"{e}_{k}" for k in RATIOS for e in ("lo", "hi")]
-    levels = null_join(fences(by_source, ["lang", "source"]), fences(by_lang, ["lang"]).select("lang", F.col("docs").alias("_ld"), *[F.col(c).alias(f"_l{c}") for c in names]), ["lang"])
-    corpus = fences(merged(by_lang, []), []).select(F.lit(1).alias("_one"), *[F.col(c).alias(f"_g{c}") for c in names])
-    levels = levels.withColumn("_one", F.lit(1)).join(F.broadcast(corpus), "_one", "left")  # a single row
-    pick = [F.when(F.col("docs") >= LEAST, F.col(c)).when(F.col("_ld") >= LEAST, F.col(f"_l{c}")).otherwise(F.col(f"_g{c}")).alias(c) for c in names]
-    held = null_join(counted, levels.select("lang", "source", *pick), ["lang", "source"], "left")
+    by_source = sketches(counted.where(~base_failed()), ["lang", "source"])
+    held = null_join(counted, fences(by_source), ["lang", "source"], "left")
     inside = F.lit(True)
     for k, (a, b, _) in RATIOS.items():
         inside = inside & (F.col(a) / F.greatest(F.col(b), F.lit(1))).between(F.col(f"lo_{k}"), F.col(f"hi_{k}"))
