@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import textnum
 from .common import Scratch, bounded_batches
 
-CLASSES = MEMBERS = 64
+CLASSES, MEMBERS = 32, 128
 BUCKETS = 512
 ENTRIES = CLASSES * MEMBERS
 NAMED = ENTRIES - BUCKETS
@@ -42,7 +42,7 @@ SENT = 1 << 16
 SIDE, HIDDEN = 2, 16
 ROUNDS = 3
 SHARD_WORDS = 1_000_000
-BATCH, RATE = 2048, 0.3
+BATCH, RATE = 3072, 0.3
 #: Groups in which shards' weights are added up, and what a worker collects before it sends word counts.
 GROUPS, HELD = 8, 1 << 20
 _ABSENT = -30.0
@@ -170,9 +170,10 @@ def padded(ids: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def hidden(w: Weights, around: np.ndarray) -> np.ndarray:
-    h = w["b"] + w["e"][0][around[:, 0]]
+    h = np.take(w["e"][0], around[:, 0], axis=0)
+    h += w["b"]
     for k in range(1, around.shape[1]):
-        h += w["e"][k][around[:, k]]
+        h += np.take(w["e"][k], around[:, k], axis=0)
     return np.tanh(h, out=h)
 
 
@@ -210,53 +211,57 @@ def log_probabilities(w: Weights, ids: np.ndarray, around: np.ndarray) -> np.nda
     return out
 
 
-def gradients(w: Weights, ids: np.ndarray, around: np.ndarray) -> tuple[dict[str, np.ndarray], list[tuple[int, np.ndarray, np.ndarray]], np.ndarray]:
-    """Of the mean log-loss: those of b, d and u; (class, of v, of m) of the classes that occur; and of the hidden sums."""
+def gradients(w: Weights, ids: np.ndarray, around: np.ndarray) -> tuple[Weights, np.ndarray]:
+    """Of the mean log-loss: those of all weights but the embeddings, and of the hidden sums."""
     n = len(ids)
     h = hidden(w, around)
     classes, members = np.divmod(ids, MEMBERS)
     order, parts = _by_class(classes)
-    h, classes, members = h[order], classes[order], members[order]
+    h, classes, members = np.take(h, order, axis=0), classes[order], members[order]
     places = np.arange(n)
     p, total = _exp(h @ w["u"] + w["d"])
     p *= (1 / total)[:, None]
     p[places, classes] -= 1
-    back, per = p @ w["u"].T, []
+    back = p @ w["u"].T
+    out = {"v": np.zeros(_SHAPES["v"], "f4"), "m": np.zeros(_SHAPES["m"], "f4"), "u": h.T @ p, "d": p.sum(0)}
     for c, a, z in parts:
-        q, total = _exp(h[a:z] @ w["v"][c] + w["m"][c])
+        hc, v = h[a:z], w["v"][c]
+        q, total = _exp(hc @ v + w["m"][c])
         q *= (1 / total)[:, None]
         q[places[: z - a], members[a:z]] -= 1
-        back[a:z] += q @ w["v"][c].T
-        per.append((c, h[a:z].T @ q / n, q.sum(0) / n))
+        back[a:z] += q @ v.T
+        np.matmul(hc.T, q, out=out["v"][c])
+        np.add.reduce(q, 0, out=out["m"][c])
     back *= (1 - h * h) / n
-    out = np.empty_like(back)
-    out[order] = back
-    return {"u": h.T @ p / n, "d": p.sum(0) / n, "b": back.sum(0)}, per, out
+    for g in out.values():
+        g /= n
+    out["b"] = back.sum(0)
+    sums = np.empty_like(back)
+    sums[order] = back
+    return out, sums
 
 
 def step(w: Weights, g2: Weights, ids: np.ndarray, around: np.ndarray) -> None:
     """One step down the mean log-loss of a batch, scaled per weight by its past gradients."""
-    dense, per, back = gradients(w, ids, around)
-
-    def move(to: np.ndarray, past: np.ndarray, g: np.ndarray) -> None:
-        past += g * g
-        to -= RATE * g / (np.sqrt(past) + 1e-4)
-
+    dense, back = gradients(w, ids, around)
     for k, g in dense.items():
-        move(w[k], g2[k], g)
-    for c, v, m in per:
-        move(w["v"][c], g2["v"][c], v)
-        move(w["m"][c], g2["m"][c], m)
+        past = g2[k]
+        past += g * g
+        g *= RATE
+        g /= np.sqrt(past) + 1e-4
+        w[k] -= g
     # embeddings: only rows that the batch holds have a gradient
-    at = (around + np.arange(around.shape[1], dtype=np.int32) * (ENTRIES + 1)).T.ravel()
-    order = np.argsort(at.astype(np.uint16), kind="stable")
-    held = at[order]
-    firsts = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
-    g, rows = np.add.reduceat(back[order % len(ids)], firsts, axis=0), held[firsts]
-    e, e2 = w["e"].reshape(-1, HIDDEN), g2["e"].reshape(-1, HIDDEN)
-    past = e2[rows] + g * g
-    e2[rows] = past
-    e[rows] -= RATE * g / (np.sqrt(past) + 1e-4)
+    for k in range(around.shape[1]):
+        at = around[:, k].astype(np.uint16)
+        order = np.argsort(at, kind="stable")
+        held = at[order]
+        firsts = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+        g, rows = np.add.reduceat(np.take(back, order, axis=0), firsts, axis=0), held[firsts]
+        past = np.take(g2["e"][k], rows, axis=0) + g * g
+        g2["e"][k][rows] = past
+        g *= RATE
+        g /= np.sqrt(past) + 1e-4
+        w["e"][k][rows] -= g
 
 
 def fit_shard(w: Weights, ids: np.ndarray, firsts: np.ndarray) -> None:
