@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -554,8 +555,8 @@ def test_quotations(spark, monkeypatch):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("position", F.lit("extra"))
     got = chat.link(df).orderBy("conv_id", "position").collect()
     assert [(r["conv_id"], r["turn"], r["position"], r["parent_turn"], r["quotes"], r["levels"], r["message"]) for r in got] == [
-        (None, 5, 0, None, False, 0, "x"), (1, 0, 0, None, False, 0, rows[0][3]), (1, 1, 1, 0, False, 0, "Fine.\nThanks"), (1, 2, 2, 0, True, 2, "My answer"),
-        (1, 3, 3, 1, True, 1, "ok"), (1, 3, 4, 1, True, 1, "ok"), (1, 9, 5, 2, True, 1, ""), (2, None, 0, None, False, 0, ""), (2, 0, 1, None, False, 1, ""),
+        (None, 5, 0, None, False, 0, "x"), (1, 0, 0, None, False, 0, rows[0][3]), (1, 1, 1, 0, False, 0, "Fine.\nThanks"), (1, 3, 2, 1, True, 1, "ok"), (1, 3, 3, 1, True, 1, "ok"),
+        (1, 2, 4, 0, True, 2, "My answer"), (1, 9, 5, 2, True, 1, ""), (2, None, 0, None, False, 0, ""), (2, 0, 1, None, False, 1, ""),
     ]
     assert got[2]["formatted"] == "<|assistant|>\nFine.\nThanks\n"
     assert chat.link(df.limit(0)).count() == 0
@@ -572,6 +573,67 @@ def test_nested_quotations(spark):
     }
 
 
+def plain_conversation(rows):
+    """(turn, text) rows of one conversation in table order -> {row: (parent turn, position)}, by quoted lines and passages."""
+    norm = lambda x: re.sub(r"\s+", " ", x).strip(" ").lower()
+    own, quoted = [], []
+    for _, text in rows:
+        lines = [(len(m[0].replace(" ", "")), re.sub(r"^(?: ?>)+ ?", "", x)) for x in text.split("\n") for m in [re.match(r"^(?: ?>)*", x)]]
+        mine = "\n".join(b for d, b in lines if d == 0).strip()
+        own.append({norm(x) for x in [mine, *re.split(r"\n\s*\n", mine), *mine.split("\n")]} - {""})
+        runs = [(d, [b for _, b in g]) for d, g in itertools.groupby(lines, key=lambda x: x[0]) if d]
+        quoted.append([(d, norm(" ".join(bs))) for d, bs in runs] + [(d, norm(b)) for d, b in lines if d])
+    parent = []
+    for i, (turn, _) in enumerate(rows):
+        votes = Counter()
+        for d, q in quoted[i]:
+            at = max((t for j, (t, _) in enumerate(rows) if t < turn and q in own[j]), default=None) if q else None
+            if at is not None:
+                votes[d, at] += len(q)
+        best = max(votes, key=lambda k: (-k[0], votes[k], k[1]), default=None)
+        parent.append(best[1] if best else max((t for t, _ in rows if t < turn), default=None))
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0], i))
+    held = {rows[i][0]: i for i in order}
+    below = defaultdict(list)
+    for i in order:
+        below[None if parent[i] is None else held[parent[i]]].append(i)
+    walk, stack = [], below[None][::-1]
+    while stack:
+        i = stack.pop()
+        walk.append(i)
+        stack += below[i][::-1]
+    return {i: (parent[i], walk.index(i)) for i in range(len(rows))}
+
+
+def test_conversations_match_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(chat, "RANGE", 3)
+    monkeypatch.setattr(common, "HOT", 8)
+    rnd = random.Random(12)
+    rows, want = [], {}
+    for conv in range(12):
+        texts = []
+        for k in range(rnd.choice([1, 2, 5, 12, 40])):
+            turn = k if rnd.random() < 0.8 else rnd.randint(0, k)
+            lines = [f"line {rnd.randint(0, 60)} of {conv}" for _ in range(rnd.randint(1, 3))]
+            if texts and rnd.random() < 0.6:
+                lines = [f"{rnd.choice(['> ', '>> ', '> > '])}{x}" for x in rnd.choice(texts)[1].split("\n")[:2] if not x.startswith(">")] + lines
+            texts.append((turn, "\n".join(lines)))
+        for i, found in plain_conversation(texts).items():
+            want[conv, i] = found
+        rows += [(conv, t, f"{i}", x) for i, (t, x) in enumerate(texts)]
+    got = {(r["conv_id"], int(r["role"])): (r["parent_turn"], r["position"]) for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)).collect()}
+    assert got == want
+
+
+def test_long_conversation_of_one_turn(spark):
+    rows = [(None, None, "u", f"text {i}") for i in range(3000)] + [(1, i, "u", f"> text {i - 2}\ntext {i}") for i in range(300)]
+    got = chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(r["position"] for r in got if r["conv_id"] is None) == list(range(3000))
+    one = {r["turn"]: (r["parent_turn"], r["position"]) for r in got if r["conv_id"] == 1}
+    # 1 answers 0, and then each answers the one before the last: two threads, the odd one first
+    assert all(one[i][0] == i - 2 for i in range(2, 300)) and [t for t, _ in sorted(one.items(), key=lambda x: x[1][1])] == [0, *range(1, 300, 2), *range(2, 300, 2)]
+
+
 # --- 10 --------------------------------------------------------------------------------------
 
 SECRETS = [
