@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,3 +34,8 @@ def contains_any(values: Column, wanted: Iterable[str]) -> Column:
 def text_contains_any(text: Column, wanted: Iterable[str]) -> Column:
     """Whether one of the strings occurs in the text."""
     return text.rlike("|".join(map(re.escape, wanted)))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

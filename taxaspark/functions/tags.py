@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def describe(desc: Column, tags: dict[str, Column]) -> Column:
 
 def described(desc: Column) -> Column:
     """The tags of the first block of a description; of equal names the later wins, a name without value is ignored."""
-    block = F.regexp_extract(F.coalesce(desc, F.lit("")), r"MIRE\{([^}]*)\}", 1)
+    block = F.regexp_extract(F.coalesce(desc, F.lit("")), f"{re.escape(TAG_PREFIX)}([^}}]*){re.escape(TAG_SUFFIX)}", 1)
     parts = F.split(block, ":", -1)
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(parts) / 2).cast("int") - 1), lambda i: F.struct(F.get(parts, i * 2).alias("key"), F.get(parts, i * 2 + 1).alias("value")))
     return F.when(F.size(parts) < 2, F.create_map().cast("map<string,string>")).otherwise(later_wins(pairs))

@@ -41,8 +41,8 @@ class QuantileTest:
         return self.tests.where("truly").select("taxid").distinct()
 
     def plot_data(self) -> DataFrame:
-        """What a density plot by study and taxon shows: truly significant matched taxa, with their p-values; order by pvalue."""
-        return self.table.join(self.tests.where("significant and matched").select("taxid", "taxa", "pvalue"), ["taxid", "taxa"])
+        """What a density plot by study and taxon shows: truly significant matched taxa, with their p-values, the taxa in order of them."""
+        return self.table.join(self.tests.where("significant and matched").select("taxid", "taxa", "pvalue"), ["taxid", "taxa"]).orderBy("pvalue", "taxid")
 
 
 def quantile_test(values: DataFrame, keys: list[str], value: str, ref: str, p: float = 0.5, alternative: str = "greater") -> DataFrame:

@@ -30,24 +30,27 @@ def excluded(lca: Column, exclude: list[str], mode: str = "substring") -> Column
     raise ValueError(f"unknown exclude mode {mode}")
 
 
-def include_set(report: DataFrame, taxonomy: Iterable[str] | None, ranks: list[str] | None, taxa: list[str] | None, taxids: list[str] | None, with_descendants: bool) -> DataFrame:
+def include_set(report: DataFrame, taxonomy: Iterable[str] | None, ranks: list[str] | None, taxa: list[str] | None, taxids: list[str] | None, with_descendants: bool, strict: bool = True) -> DataFrame:
     """The taxids that count: those chosen, with all below them if asked for."""
-    below = filter_taxonomy(report, taxonomy) if taxonomy else report
+    below = filter_taxonomy(report, taxonomy, strict) if taxonomy else report
     chosen = select_taxa(below, ranks, taxa, taxids).select("taxid").distinct()
     return descendants(chosen, closure(below)) if with_descendants else chosen
 
 
 def kractor_koutput(
     report: DataFrame, koutput: DataFrame, taxonomy: Iterable[str] | str | None = None, ranks: Iterable[str] | str | None = None, taxa: Iterable[str] | str | None = None,
-    taxids: Iterable[str] | str | None = None, exclude: Iterable[str] | str | None = None, with_descendants: bool = True, exclude_mode: str = "substring",
+    taxids: Iterable[str] | str | None = None, exclude: Iterable[str] | str | None = None, with_descendants: bool = True, exclude_mode: str = "substring", strict: bool = True,
 ) -> DataFrame:
-    """Rows of per-read output whose taxid is included and whose k-mer list names no excluded one. A row without a list fails if anything is excluded."""
+    """Rows of per-read output whose taxid is included and whose k-mer list names no excluded one. A row without a list fails if anything is excluded.
+
+    `strict`: a taxonomy that matches no row of the report is an error, which takes a job over the report.
+    """
     taxonomy, ranks, taxa, taxids, exclude = map(strings, (taxonomy, ranks, taxa, taxids, exclude))
     if not any((taxonomy, ranks, taxa, taxids, exclude)):
         raise ValueError("give one of taxonomy, ranks, taxa, taxids and exclude at least")
     out = koutput.withColumn("_taxid", parsed_taxid(F.col("taxon")))
     if any((taxonomy, ranks, taxa, taxids)):
-        wanted = include_set(report, taxonomy, ranks, taxa, taxids, with_descendants)
+        wanted = include_set(report, taxonomy, ranks, taxa, taxids, with_descendants, strict)
         out = out.join(wanted.withColumnRenamed("taxid", "_taxid"), "_taxid", "left_semi").select(*out.columns)
     if exclude:
         out = out.where(F.col("lca").isNotNull() & ~excluded(F.col("lca"), exclude, exclude_mode))

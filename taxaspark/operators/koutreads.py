@@ -17,11 +17,11 @@ EXCLUDE = ("9606",)
 Tags = TagRanges | Iterable[TagRanges] | None
 
 
-def classified(report: DataFrame, koutput: DataFrame, taxonomy: Iterable[str] | None = TAXONOMY, exclude: Iterable[str] | None = EXCLUDE, exclude_mode: str = "substring") -> DataFrame:
+def classified(report: DataFrame, koutput: DataFrame, taxonomy: Iterable[str] | None = TAXONOMY, exclude: Iterable[str] | None = EXCLUDE, exclude_mode: str = "substring", strict: bool = True) -> DataFrame:
     """read_id, taxid, length, lca of the reads to join; of equal ids the last line counts where the lines are numbered, else the greatest."""
     taxonomy, exclude = strings(taxonomy), strings(exclude)
     rows = koutput.where("status = 'C'").withColumn("taxid", parsed_taxid(F.col("taxon")))
-    rows = rows.join(include_set(report, taxonomy, None, None, None, True), "taxid", "left_semi")
+    rows = rows.join(include_set(report, taxonomy, None, None, None, True, strict), "taxid", "left_semi")
     if exclude:
         rows = rows.where(F.col("lca").isNotNull() & ~excluded(F.col("lca"), exclude, exclude_mode))
     value = F.struct("taxid", "length", "lca")
@@ -45,14 +45,14 @@ def _checked(ok: Column, length: Column, value: Column) -> Column:
 
 def koutreads(
     report: DataFrame, koutput: DataFrame, reads: DataFrame, tag_ranges1: Tags = None, tag_ranges2: Tags = None,
-    taxonomy: Iterable[str] | None = TAXONOMY, exclude: Iterable[str] | None = EXCLUDE, exclude_mode: str = "substring",
+    taxonomy: Iterable[str] | None = TAXONOMY, exclude: Iterable[str] | None = EXCLUDE, exclude_mode: str = "substring", strict: bool = True,
 ) -> DataFrame:
     """taxid, tags (map), lca, seq, qual of the classified reads.
 
     Pairs: with two lengths both mates are kept, joined by a space; with one only the second mate is.
     Header tags of the first mate yield to those of the second and these to tags by range.
     """
-    chosen = classified(report, koutput, taxonomy, exclude, exclude_mode)
+    chosen = classified(report, koutput, taxonomy, exclude, exclude_mode, strict)
     one, two = _list(tag_ranges1), _list(tag_ranges2)
     parts = F.split(F.col("length"), "[:|]")
     size = lambda i: F.trim(F.get(parts, i)).cast("int")

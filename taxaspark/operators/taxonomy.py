@@ -43,8 +43,10 @@ def filter_taxonomy(report: DataFrame, taxonomy: Iterable[str], strict: bool = F
 
 
 def closure(report: DataFrame) -> DataFrame:
-    """(taxid, ancestor), each taxon its own ancestor; of several rows of one taxid the last counts."""
-    last = report.groupBy("taxid").agg(F.max_by("taxids", F.col("pos")).alias("taxids")) if "pos" in report.columns else report.select("taxid", "taxids").dropDuplicates(["taxid"])
+    """(taxid, ancestor), each taxon its own ancestor; of several rows of one taxid the last counts: of the last report by name,
+    the last row. Without row numbers the greatest path counts."""
+    order = F.struct(*[c for c in ("source", "pos") if c in report.columns]) if "pos" in report.columns else F.col("taxids")
+    last = report.groupBy("taxid").agg(F.max_by("taxids", order).alias("taxids"))
     return last.select("taxid", F.explode(F.array_distinct("taxids")).alias("ancestor"))
 
 

@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# The codec's names of the levels 1 to 9.
+_LEVELS = ("BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION")
+
+
 def _compression(level: int | None) -> dict[str, str]:
-    """gzip for any level of 1 to 12. The codec has levels up to 9 only and the text writer its own default, so the level is checked and no more."""
+    """gzip at a level of 1 to 12. The codec's levels end at 9, its strongest, which 10 to 12 mean too."""
     if level is None:
         return {}
     if isinstance(level, bool) or not isinstance(level, int) or not 1 <= level <= 12:
         raise ValueError("the compression level is a whole number from 1 to 12")
-    return {"compression": "gzip"}
+    return {"compression": "gzip", "zlib.compress.level": _LEVELS[min(level, 9) - 1]}
 
 
 def write_lines(df: DataFrame, line: Column, path: str, level: int | None = None, single: bool = False, mode: str = "errorifexists") -> None:

@@ -13,15 +13,17 @@ from ..session import ship
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """value and source, one row per line, without the return of a CRLF."""
-    return spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_path").alias("source"))
+    """value, source and line_no, one row per line, without the return of a CRLF. line_no sorts lines as they stand: by file, by
+    where a task's part of the file begins, and by the line's place in it."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_path").alias("source"), at.alias("line_no"))
 
 
 def read_koutput(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """status, read_id, taxon (a taxid or "name (taxid N)"), length, lca, line: the line itself."""
+    """status, read_id, taxon (a taxid or "name (taxid N)"), length, lca, line: the line itself, and line_no, which sorts lines."""
     parts = F.split("value", "\t", -1)
     names = ("status", "read_id", "taxon", "length", "lca")
-    return _lines(spark, path).where(F.trim("value") != "").select(*[F.get(parts, i).alias(n) for i, n in enumerate(names)], F.col("value").alias("line"))
+    return _lines(spark, path).where(F.trim("value") != "").select(*[F.get(parts, i).alias(n) for i, n in enumerate(names)], F.col("value").alias("line"), "line_no")
 
 
 def read_ids(koutput: DataFrame) -> DataFrame:
