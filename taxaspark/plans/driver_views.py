@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
 
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    def folder(self, name: str) -> str:
+        """A new folder in the space that driver and executors share, for a query that writes files and reads them back; it goes when the process ends."""
+        path = f"{shared_folder(self.spark)}/views-{uuid.uuid4().hex}"
+        atexit.register(_delete, self.spark, path)
+        return f"{path}/{name}"
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -52,6 +69,17 @@ class Views:
         key = F.col("o_orderkey").cast("string")
         return self.table("orders").select(key.alias("id"), F.col("o_orderpriority").alias("desc"), dna(key).alias("seq"), F.lit("+").alias("sep"), quality(key).alias("qual"))
 
+    def pairs(self) -> DataFrame:
+        """Both mates of the reads: the second is the complement."""
+        second = F.struct("id", "desc", F.translate("seq", "ACGT", "TGCA").alias("seq"), "sep", "qual")
+        return self.reads().select(F.struct("id", "desc", "seq", "sep", "qual").alias("r1"), second.alias("r2"))
+
+    def koutput_lines(self) -> DataFrame:
+        """Per-read output as written: taxa with even numbers have a name, and a line without a list ends at its length."""
+        number = F.regexp_extract("taxon", "([0-9]+)$", 1).cast("bigint")
+        named = F.when(number % 2 == 0, F.concat(F.lit("some name (taxid "), F.col("taxon"), F.lit(")"))).otherwise(F.col("taxon"))
+        return self.koutput().select("read_id", F.concat_ws("\t", "status", "read_id", named, "length", "lca").alias("line"))
+
     def koutreads(self) -> DataFrame:
         """Joined reads of orders; the k-mer list counts 25 k-mers of 8 letters, the tags are 1 and 4 letters of the read."""
         o = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))

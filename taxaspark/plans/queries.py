@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import kmers, stats, tags
-from ..functions.ranges import combine, embed, embed_trim, seq_range, tag, trim
+from ..functions import kmers, lists, stats, strings, tags
+from ..functions.ranges import combine, embed, embed_trim, ordered, seq_range, tag, trim
 from ..operators import denoise, taxonomy
+from ..operators.classify import kraken2
 from ..operators.extract import kractor_koutput, kractor_reads
-from ..operators.koutreads import encoded, koutreads
-from ..operators.krcount import krcount
+from ..operators.koutreads import classified, encoded, koutreads
+from ..operators.krcount import count_tables, krcount, wide
 from ..operators.refine import seq_refine
 from ..session import configure
-from ..sources.fastq import checked_pair
-from ..sources.text import kreport_rows, lineage
+from ..sources import sinks
+from ..sources.fastq import checked_pair, pair_mates, read_fastq
+from ..sources.text import kreport_rows, lineage, read_delimited, read_koutput, read_koutreads, read_kreport, read_parquet
+from ..streaming import count_stream, filter_stream, stream_koutput
 from .driver_views import Views, dna
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,9 +207,7 @@ def seq_refine_embed_trim(v: Views) -> DataFrame:
 SELECT id, descr || ' MIRE{UMI:' || substr(seq, 1, 3) || substr(seq2, 30) || '}' AS descr, substr(seq, 4) AS seq1, substr(seq2, 1, 29) AS seq2 FROM mates"""
 )
 def seq_refine_paired(v: Views) -> DataFrame:
-    second = F.struct("id", "desc", F.translate("seq", "ACGT", "TGCA").alias("seq"), "sep", "qual")
-    pairs = v.reads().select(F.struct("id", "desc", "seq", "sep", "qual").alias("r1"), second.alias("r2"))
-    out = seq_refine(pairs, umi_action1=embed_trim("UMI", seq_range(1, 3)), umi_action2=seq_range(30))
+    out = seq_refine(v.pairs(), umi_action1=embed_trim("UMI", seq_range(1, 3)), umi_action2=seq_range(30))
     return out.select("r2.id", F.col("r2.desc").alias("descr"), F.col("r1.seq").alias("seq1"), F.col("r2.seq").alias("seq2"))
 
 
@@ -253,9 +255,22 @@ FROM a JOIN tax t ON a.taxid = t.taxid GROUP BY 1"""
 )
 def krcount_wide(v: Views) -> DataFrame:
     counts = krcount(v.koutreads(), v.taxonomy(), "UMI", "BARCODE", taxonomy=None)
-    pivot = counts.groupBy("taxid").pivot("barcode", list("ACGT")).agg(F.first("reads"))
-    names = taxonomy.lineage_columns(v.taxonomy().where("rank <> 'S'"), ["D", "P"])
-    return pivot.join(names, "taxid").select("taxid", F.col("D").alias("region"), F.col("P").alias("nation"), *[F.col(c).alias(f"n_{c.lower()}") for c in "ACGT"])
+    table = wide(counts, v.taxonomy().where("rank <> 'S'"), "reads", list("ACGT"))
+    return table.select("taxid", F.col("D").alias("region"), F.col("P").alias("nation"), *[F.col(c).alias(f"n_{c.lower()}") for c in "ACGT"])
+
+
+@query(
+    _COUNTS + """, v AS (SELECT taxid, barcode, reads, kmer_total, kmer_unique FROM a JOIN b USING (barcode, taxid))
+SELECT t.taxid, max(t.region) AS region, """ + ", ".join(f"CAST(coalesce(max(CASE WHEN barcode = '{c}' THEN {x} END), -1) AS BIGINT) AS {n}_{c.lower()}" for n, x in (("n", "reads"), ("t", "kmer_total"), ("u", "kmer_unique")) for c in "ACGT") + """
+FROM tax t LEFT JOIN v ON v.taxid = t.taxid GROUP BY 1"""
+)
+def krcount_tables(v: Views) -> DataFrame:
+    """All four tables, one beside the other: every taxon of the report has a row; -1 stands for null here."""
+    found = count_tables(krcount(v.koutreads(), v.taxonomy(), "UMI", "BARCODE", taxonomy=None), v.taxonomy(), list("ACGT"))
+    out = found.taxa.select("taxid", F.col("D").alias("region"))
+    for n, table in (("n", found.counts), ("t", found.kmer_total), ("u", found.kmer_unique)):
+        out = out.join(table.select("taxid", *[F.coalesce(F.col(c), F.lit(-1)).alias(f"{n}_{c.lower()}") for c in "ACGT"]), "taxid")
+    return out
 
 
 @query(
@@ -451,4 +466,230 @@ def clade_reads(v: Views) -> DataFrame:
     return own.join(pairs, "taxid").groupBy(F.col("ancestor").alias("taxid")).agg(F.sum("reads").alias("reads"))
 
 
+@query("SELECT id, descr, seq, qual FROM rd")
+def fastq_scan(v: Views) -> DataFrame:
+    """Reads written as FASTQ and read back, in byte ranges smaller than a file."""
+    path = v.folder("reads")
+    sinks.write_fastq(v.reads(), path)
+    return read_fastq(v.spark, path, 1 << 20).select("id", F.col("desc").alias("descr"), "seq", "qual")
+
+
+@query("SELECT id, descr, seq, qual FROM rd")
+def fastq_scan_gzip(v: Views) -> DataFrame:
+    path = v.folder("reads")
+    sinks.write_fastq(v.reads(), path, level=1)
+    return read_fastq(v.spark, path).select("id", F.col("desc").alias("descr"), "seq", "qual")
+
+
+@query("SELECT id, seq AS seq1, translate(seq, 'ACGT', 'TGCA') AS seq2 FROM rd")
+def fastq_pairs(v: Views) -> DataFrame:
+    """Mates written to two folders, read back and met by their record numbers."""
+    one, two = v.folder("r1"), v.folder("r2")
+    sinks.write_fastq_pairs(v.pairs(), one, two)
+    met = pair_mates(read_fastq(v.spark, one, 1 << 20), read_fastq(v.spark, two, 1 << 19))
+    return met.select("r1.id", F.col("r1.seq").alias("seq1"), F.col("r2.seq").alias("seq2"))
+
+
+_NAMED = "CASE WHEN CAST(substr(taxon, 2) AS BIGINT) % 2 = 0 THEN 'some name (taxid ' || taxon || ')' ELSE taxon END"
+
+
+@query(f"SELECT status, read_id, {_NAMED} AS taxon, '32' AS length, lca FROM kout")
+def koutput_scan(v: Views) -> DataFrame:
+    """Per-read output written with returns and blank lines, and read back."""
+    path = v.folder("out")
+    sinks.write_koutput(v.koutput_lines().select(F.concat("line", F.lit("\r\n \t")).alias("line")), path)
+    return read_koutput(v.spark, path).select("status", "read_id", "taxon", "length", "lca")
+
+
+@query(f"SELECT read_id, {_NAMED} AS taxon, lca FROM kout WHERE taxon IN (SELECT taxid FROM clo WHERE ancestor IN ('n3', 'c8')) AND lca IS NOT NULL AND NOT contains(lca, 'c9:')")
+def koutput_filter_file(v: Views) -> DataFrame:
+    """From file to file: taxids out of names, filtered, written as compressed lines, and read again."""
+    path, kept = v.folder("out"), v.folder("kept")
+    sinks.write_koutput(v.koutput_lines(), path, level=9)
+    sinks.write_koutput(kractor_koutput(v.taxonomy(), read_koutput(v.spark, path), taxids=["n3", "c8"], exclude=["c9"]), kept)
+    return read_koutput(v.spark, kept).select("read_id", "taxon", "lca")
+
+
+@query("SELECT read_id, 'c' || ((CAST(substr(taxon, 2) AS BIGINT) + 1) // 2) AS taxid FROM kout WHERE status = 'C' AND 'c' || ((CAST(substr(taxon, 2) AS BIGINT) + 1) // 2) IN (SELECT taxid FROM tax)")
+def koutput_last_line(v: Views) -> DataFrame:
+    """Of two lines of one read id the later one counts, whichever is greater."""
+    number = F.regexp_extract("taxon", "([0-9]+)$", 1).cast("bigint")
+    half = F.concat(F.lit("c"), F.floor((number + 1) / 2).cast("string"))
+    lines = v.koutput().select("read_id", "status", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("taxon").alias("t")), F.struct(F.lit(1).alias("k"), half.alias("t")))).alias("x"))
+    lines = lines.repartition("read_id").sortWithinPartitions("x.k").select(F.concat_ws("\t", "status", "read_id", "x.t", F.lit("32"), F.lit("0:1")).alias("line"))
+    path = v.folder("out")
+    sinks.write_koutput(lines, path)
+    return classified(v.taxonomy(), read_koutput(v.spark, path), None, None).select("read_id", "taxid")
+
+
+@query("SELECT taxon AS taxid, 'UMI:' || substr(seq, 5, 6) AS tags, lca, seq, qual FROM kout JOIN rd ON read_id = id WHERE status = 'C' AND lca IS NOT NULL AND NOT contains(lca, 'c9:') AND taxon IN (SELECT taxid FROM clo WHERE ancestor = 'r1')")
+def koutreads_file(v: Views) -> DataFrame:
+    """Joined reads written and read back."""
+    path = v.folder("koutreads")
+    region = v.table("region").where("r_regionkey = 1").select(F.concat(F.lit("D__"), "r_name")).first()[0]
+    sinks.write_koutreads(encoded(koutreads(v.taxonomy(), v.koutput(), v.reads(), tag("UMI", seq_range(5, 10)), taxonomy=[region], exclude=["c9"])), path, level=6)
+    return read_koutreads(v.spark, path)
+
+
+_PAIRED = """, mates AS (SELECT taxon AS taxid, seq, translate(seq, 'ACGT', 'TGCA') AS seq2, qual, substr(descr, 1, 1) AS prio FROM kout JOIN rd ON read_id = id
+  WHERE status = 'C' AND taxon IN (SELECT taxid FROM tax))
+"""
+
+
+@query(
+    _PAIRED + """SELECT taxid, 'BARCODE:' || substr(seq, 1, 4) || substr(seq2, 30) || ' KIND:' || prio || ' UMI:' || substr(seq2, 1, 3) AS tags, taxid || ':25 |:| 0:25' AS lca, seq || ' ' || seq2 AS seq, qual || ' ' || qual AS qual FROM mates"""
+)
+def koutreads_paired(v: Views) -> DataFrame:
+    """Tags of the first mate's header yield to the second's, and these to tags by range; a tag of both mates is their values joined."""
+    return encoded(_paired(v)).select("taxid", "tags", "lca", "seq", "qual")
+
+
+@query(
+    _PAIRED + """, runs AS (SELECT taxid, seq, seq2, unnest(range(1, 26)) AS i FROM mates)
+SELECT kmer, count(*) AS n FROM (SELECT substr(seq, CAST(i AS INTEGER), 8) AS kmer FROM runs UNION ALL SELECT substr(seq2, CAST(i AS INTEGER), 8) FROM runs) GROUP BY 1"""
+)
+def kmer_extract_paired(v: Views) -> DataFrame:
+    found = _paired(v).select(F.explode(kmers.read_kmers(F.col("seq"), F.col("lca"))).alias("kmer"))
+    return found.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _paired(v: Views) -> DataFrame:
+    kind = F.concat(F.lit("KIND:"), F.substring("desc", 1, 1))
+    first = F.struct("id", F.concat(F.lit("x "), F.lit(tags.TAG_PREFIX + "UMI:A:KIND:old"), F.lit(tags.TAG_SUFFIX)).alias("desc"), "seq", "sep", "qual")
+    second = F.struct("id", F.concat(F.lit(tags.TAG_PREFIX), kind, F.lit(":UMI:B" + tags.TAG_SUFFIX)).alias("desc"), F.translate("seq", "ACGT", "TGCA").alias("seq"), "sep", "qual")
+    pairs = v.reads().select(first.alias("r1"), second.alias("r2"))
+    out = v.koutput().withColumns({"length": F.lit("32:32"), "lca": F.concat(F.col("taxon"), F.lit(":25 |:| 0:25"))})
+    one, two = tag("BARCODE", seq_range(1, 4)), [tag("BARCODE", seq_range(30)), tag("UMI", seq_range(1, 3))]
+    return koutreads(v.taxonomy(), out, pairs, one, two, taxonomy=None, exclude=None)
+
+
+@query("SELECT id, descr || ' MIRE{UMI:' || substr(seq, 9, 4) || '}' AS descr FROM rd")
+def seq_refine_same_tag(v: Views) -> DataFrame:
+    """Of two actions of one tag the last counts."""
+    out = seq_refine(v.reads(), umi_action1=embed("UMI", seq_range(1, 6)), extra_actions1=[embed("UMI", seq_range(9, 12))])
+    return out.select("id", F.col("desc").alias("descr"))
+
+
+@query(
+    """SELECT taxid, rank, taxon, ranks, path AS taxids, taxa, CAST(10 * length(path) AS BIGINT) AS total_reads, CAST(length(path) AS BIGINT) AS reads, CAST(length(taxon) AS BIGINT) AS minimizer_len, CAST(1 AS BIGINT) AS minimizer_n_unique FROM tax"""
+)
+def kreport_file(v: Views) -> DataFrame:
+    """The whole taxonomy as a report of eight fields in preorder, with an unclassified row, written and read back."""
+    tax = v.taxonomy().withColumn("p", F.array_join("taxids", ","))
+    n = F.length("p")
+    line = F.concat_ws("\t", F.lit(" 1.50"), (n * 10).cast("string"), n.cast("string"), F.length("taxon").cast("string"), F.lit("1"), "rank", "taxid", F.concat(F.repeat(F.lit("  "), F.size("taxids") - 1), F.col("taxon")))
+    lost = v.spark.range(1).select(F.lit("").alias("p"), F.lit("  0.10\t5\t5\t0\t0\tU\t0\tunclassified").alias("line"))
+    path = v.folder("report")
+    # a report is one file with a line per taxon
+    sinks.write_lines(tax.select("p", line.alias("line")).unionByName(lost).repartition(1).sortWithinPartitions("p"), F.col("line"), path, level=6)
+    return _path(read_kreport(v.spark, path)).join(read_kreport(v.spark, path).select("taxid", "total_reads", "reads", "minimizer_len", "minimizer_n_unique"), "taxid")
+
+
+@query("SELECT taxid, rank, taxon FROM tax WHERE taxon IN ('ASIA', 'NATION_5', 'Customer#000000007')")
+def taxonomy_select_taxa(v: Views) -> DataFrame:
+    return taxonomy.select_taxa(v.taxonomy(), taxa=["ASIA", "NATION_5", "Customer#000000007", "nobody"]).select("taxid", "rank", "taxon")
+
+
+@query(
+    """SELECT strftime(l_shipdate, '%Y') AS sample, p_brand AS taxid, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE strftime(l_shipdate, '%Y') IN ('1993', '1995') GROUP BY 1, 2"""
+)
+def parquet_samples(v: Views) -> DataFrame:
+    """Samples written as Parquet and read as one frame."""
+    rows = v.table("lineitem").join(v.table("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.date_format("l_shipdate", "yyyy").alias("year"), F.col("p_brand").alias("taxid"))
+    paths = {year: v.folder(f"year{year}") for year in ("1993", "1995")}
+    for year, path in paths.items():
+        sinks.write_parquet(rows.where(F.col("year") == year).select("taxid"), path)
+    return read_parquet(v.spark, paths).groupBy("sample", "taxid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey AS taxid, p_size AS size, p_name AS name FROM part")
+def delimited_scan(v: Views) -> DataFrame:
+    """A table with a header and blanks between fields, written and read back."""
+    path = v.folder("table")
+    v.table("part").select(F.col("p_partkey").alias("taxid"), F.col("p_size").alias("size"), F.col("p_name").alias("name")).write.csv(path, sep=" ", header=True, quoteAll=True)
+    back = read_delimited(v.spark, path)
+    return back.select(F.col("taxid").cast("bigint").alias("taxid"), F.col("size").cast("int").alias("size"), "name")
+
+
+@query(
+    """SELECT p_partkey AS k, w[2] AS second, w[-1] AS last, w[1] AS first, w[1] || '|' || coalesce(w[4], '-') AS gathered, list_has_any(w, ['red', 'blue', 'steel']) AS any_word,
+  regexp_matches(p_type, 'TIN|BRASS') AS any_text FROM (SELECT *, string_split(p_name, ' ') AS w FROM part)"""
+)
+def list_helpers(v: Views) -> DataFrame:
+    w = F.split("p_name", " ")
+    gathered = F.array_join(F.transform(lists.gather(w, F.array(F.lit(0), F.lit(3))), lambda x: F.coalesce(x, F.lit("-"))), "|")
+    return v.table("part").select(
+        F.col("p_partkey").alias("k"), lists.get(w, 1).alias("second"), lists.last(w).alias("last"), lists.first(w).alias("first"), gathered.alias("gathered"),
+        lists.contains_any(w, ["red", "blue", "steel"]).alias("any_word"), lists.text_contains_any(F.col("p_type"), ["TIN", "BRASS"]).alias("any_text"),
+    )
+
+
+@query(
+    r"""SELECT p_partkey AS k, regexp_matches(p_name, 'e[rl]') AS detected, regexp_replace(p_name, '[aeiou]', '_') AS first_replaced, regexp_replace(p_name, '[aeiou]', '_', 'g') AS all_replaced,
+  replace(p_brand, '#', '') AS removed, CASE WHEN regexp_matches(p_brand, '[0-9]+') THEN regexp_extract(p_brand, '[0-9]+') END AS extracted, array_to_string(regexp_extract_all(p_name, '[a-z]e'), ',') AS every,
+  CAST(len(regexp_extract_all(p_name, 'l')) AS BIGINT) AS n, array_to_string(list_filter(string_split(p_name, ' '), lambda x: contains(x, 'e')), ',') AS kept, trim('  ' || p_name || ' ') AS trimmed FROM part"""
+)
+def string_helpers(v: Views) -> DataFrame:
+    name, brand = F.col("p_name"), F.col("p_brand")
+    return v.table("part").select(
+        F.col("p_partkey").alias("k"), strings.detect(name, "e[rl]").alias("detected"), strings.replace(name, "[aeiou]", "_").alias("first_replaced"), strings.replace_all(name, "[aeiou]", "_").alias("all_replaced"),
+        strings.remove_all(brand, "#", fixed=True).alias("removed"), strings.extract(brand, "[0-9]+").alias("extracted"), F.array_join(strings.extract_all(name, "[a-z]e"), ",").alias("every"),
+        strings.count(name, "l", fixed=True).alias("n"), F.array_join(strings.subset(strings.split(name, " ", fixed=True), "e", fixed=True), ",").alias("kept"),
+        strings.trim(F.concat(F.lit("  "), name, F.lit(" "))).alias("trimmed"),
+    )
+
+
+_RULES: list[tuple[str, Callable[[], object], str]] = [
+    ("one range", lambda: seq_range(2, 5), "2-5"),
+    ("open start", lambda: seq_range(None, 4), "-4"),
+    ("open end", lambda: seq_range(7), "7-"),
+    ("several", lambda: combine(seq_range(9), seq_range(1, 3)), "<2 ranges: 9-, 1-3>"),
+    ("in order", lambda: " ".join(map(str, ordered(combine(seq_range(9), seq_range(5, 6), seq_range(None, 3))))), "-3 5-6 9-"),
+    ("no end at all", lambda: seq_range(), "ValueError"),
+    ("behind its end", lambda: seq_range(5, 4), "ValueError"),
+    ("below one", lambda: seq_range(0, 4), "ValueError"),
+    ("no whole number", lambda: seq_range(1.5), "ValueError"),
+    ("an action among ranges", lambda: combine(trim(seq_range(1, 2))), "TypeError"),
+    ("overlapping tags", lambda: embed("UMI", combine(seq_range(1, 4), seq_range(4, 6))), "ValueError"),
+    ("touching tags", lambda: len(embed("UMI", combine(seq_range(1, 4), seq_range(5, 6))).ranges), "2"),
+    ("two open ends", lambda: embed("UMI", combine(seq_range(5), seq_range(7))), "ValueError"),
+    ("overlapping cuts", lambda: len(trim(combine(seq_range(1, 4), seq_range(3, 6))).ranges), "2"),
+    ("an empty tag", lambda: tag("", seq_range(1)), "ValueError"),
+    ("a level too high", lambda: sinks.gzip_options(13), "ValueError"),
+    ("no criterion", lambda: kractor_koutput(None, None), "ValueError"),
+    ("no entry of a taxonomy", lambda: taxonomy.taxonomy_entries(["Bacteria"]), "ValueError"),
+    ("no action", lambda: seq_refine(None), "ValueError"),
+    ("no output", lambda: sinks.write_fastq_pairs(None, None, None), "ValueError"),
+    ("the classifier's command", lambda: " ".join(kraken2(["a#.fq", "b#.fq"], "--quick", db="d", program="prog", threads=2, run=False)), "prog --threads 2 --report ./kraken_report.txt --output ./kraken_output.txt --classified-out ./classified.fq --db d --paired --quick a#.fq b#.fq"),
+    ("three files", lambda: kraken2(["a", "b", "c"], run=False), "ValueError"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(n.replace("'", "''"), w) for n, _, w in _RULES) + ") AS rules(rule, outcome)", shared=False)
+def argument_rules(v: Views) -> DataFrame:
+    """What ranges, actions, filters and sinks make of arguments: how they print, or the error they raise."""
+
+    def outcome(f: Callable[[], object]) -> str:
+        try:
+            return str(f())
+        except (TypeError, ValueError) as e:
+            return type(e).__name__
+
+    return v.spark.createDataFrame([(n, outcome(f)) for n, f, _ in _RULES], "rule string, outcome string")
+
+
+@query("SELECT ancestor AS taxid, count(*) AS reads FROM kout JOIN clo ON taxon = taxid WHERE taxon IN (SELECT taxid FROM clo WHERE ancestor = 'r2') AND lca IS NOT NULL AND NOT contains(lca, 'c9:') GROUP BY 1")
+def stream_counts(v: Views) -> DataFrame:
+    """Per-read output as a stream of files: filtered and counted per ancestor until all that is there is read."""
+    path, state = v.folder("out"), v.folder("state")
+    sinks.write_koutput(v.koutput_lines(), path)
+    pairs = taxonomy.closure(v.taxonomy())
+    wanted = pairs.where("ancestor = 'r2'").select("taxid")
+    counted = count_stream(filter_stream(stream_koutput(v.spark, path), wanted, ["c9"]), pairs)
+    name = f"counts_{uuid.uuid4().hex}"
+    running = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", state).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return v.spark.table(name)
+
+
 __all__ = ["queries", "oracle_sql", "dna"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 _LEVELS = ("BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION")
 
 
-def _compression(level: int | None) -> dict[str, str]:
+def gzip_options(level: int | None) -> dict[str, str]:
     """gzip at a level of 1 to 12. The codec's levels end at 9, its strongest, which 10 to 12 mean too."""
     if level is None:
         return {}
@@ -21,7 +21,7 @@ def _compression(level: int | None) -> dict[str, str]:
 
 def write_lines(df: DataFrame, line: Column, path: str, level: int | None = None, single: bool = False, mode: str = "errorifexists") -> None:
     out = df.select(line.alias("value"))
-    (out.coalesce(1) if single else out).write.mode(mode).options(**_compression(level)).text(path)
+    (out.coalesce(1) if single else out).write.mode(mode).options(**gzip_options(level)).text(path)
 
 
 def fastq_record(row: Column | None = None) -> Column:

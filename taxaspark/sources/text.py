@@ -12,6 +12,11 @@ from ..schemas import KREPORT
 from ..session import ship
 
 
+def written(line: Column) -> Column:
+    """Whether a line holds more than ASCII white space."""
+    return line.rlike(r"[^\x20\x09\x0A\x0C\x0D]")
+
+
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """value, source and line_no, one row per line, without the return of a CRLF. line_no sorts lines as they stand: by file, by
     where a task's part of the file begins, and by the line's place in it."""
@@ -23,7 +28,7 @@ def read_koutput(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """status, read_id, taxon (a taxid or "name (taxid N)"), length, lca, line: the line itself, and line_no, which sorts lines."""
     parts = F.split("value", "\t", -1)
     names = ("status", "read_id", "taxon", "length", "lca")
-    return _lines(spark, path).where(F.trim("value") != "").select(*[F.get(parts, i).alias(n) for i, n in enumerate(names)], F.col("value").alias("line"), "line_no")
+    return _lines(spark, path).where(written(F.col("value"))).select(*[F.get(parts, i).alias(n) for i, n in enumerate(names)], F.col("value").alias("line"), "line_no")
 
 
 def read_ids(koutput: DataFrame) -> DataFrame:
@@ -36,7 +41,7 @@ def read_koutreads(spark: SparkSession, path: str | list[str]) -> DataFrame:
     parts = F.split("value", "\t", -1)
     bad = F.raise_error(F.concat(F.lit("five fields expected: "), F.col("value")))
     first = F.when(F.size(parts) == 5, parts[0]).otherwise(bad)
-    return _lines(spark, path).where(F.trim("value") != "").select(first.alias("taxid"), *[F.get(parts, i).alias(n) for i, n in enumerate(("tags", "lca", "seq", "qual"), 1)])
+    return _lines(spark, path).where(written(F.col("value"))).select(first.alias("taxid"), *[F.get(parts, i).alias(n) for i, n in enumerate(("tags", "lca", "seq", "qual"), 1)])
 
 
 def read_parquet(spark: SparkSession, paths: list[str] | dict[str, str]) -> DataFrame:
@@ -62,7 +67,7 @@ def kreport_rows(lines: DataFrame) -> DataFrame:
     only8 = lambda i: F.when(~six, F.trim(F.get(parts, i))).cast("bigint")
     rank = F.when((n == 6) | (n == 8), at(3, 5)).otherwise(F.raise_error(F.concat(F.lit("six or eight fields expected: "), F.col("value"))))
     name = at(5, 7)
-    rows = lines.where(F.trim("value") != "").select(
+    rows = lines.where(written(F.col("value"))).select(
         number(F.get(parts, 0), "double").alias("percents"), number(F.get(parts, 1), "bigint").alias("total_reads"), number(F.get(parts, 2), "bigint").alias("reads"),
         only8(3).alias("minimizer_len"), only8(4).alias("minimizer_n_unique"), rank.alias("rank"), at(4, 6).alias("taxid"), F.regexp_replace(name, "^ +", "").alias("taxon"),
         F.floor((F.length(name) - F.length(F.regexp_replace(name, "^ +", ""))) / 2).cast("int").alias("level"), F.col("pos").cast("bigint").alias("pos"), "source",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kmers import parsed_taxid
 from ..operators.extract import excluded, strings
+from ..sources.text import written
 
 
 def stream_koutput(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
@@ -16,7 +17,7 @@ def stream_koutput(spark: SparkSession, folder: str, files_per_trigger: int = 10
     parts = F.split("value", "\t", -1)
     names = ("status", "read_id", "taxon", "length", "lca")
     rows = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder).withColumn("value", F.regexp_replace("value", "\r$", ""))
-    return rows.where(F.trim("value") != "").select(*[F.get(parts, i).alias(n) for i, n in enumerate(names)], F.col("value").alias("line"))
+    return rows.where(written(F.col("value"))).select(*[F.get(parts, i).alias(n) for i, n in enumerate(names)], F.col("value").alias("line"))
 
 
 def filter_stream(rows: DataFrame, wanted: DataFrame, exclude: Iterable[str] | None = None, exclude_mode: str = "substring") -> DataFrame:

@@ -29,7 +29,7 @@ def test_entry_without_the_corpus_operators(tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["clade_reads", "koutreads_join", "krcount_long"])
+@pytest.mark.parametrize("name", ["clade_reads", "koutreads_join", "krcount_tables", "fastq_pairs", "koutput_last_line", "koutreads_paired", "kreport_file", "stream_counts", "argument_rules", "slsd", "denoise_counts"])
 def test_queries_match_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

@@ -3,11 +3,12 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
+from taxaspark.functions import strings
 from taxaspark.functions.ranges import combine, embed, embed_trim, seq_range, tag, trim
 from taxaspark.operators import denoise, taxonomy
 from taxaspark.operators.classify import kraken2
 from taxaspark.operators.extract import kractor_koutput, kractor_reads
-from taxaspark.operators.koutreads import encoded, koutreads
+from taxaspark.operators.koutreads import classified, encoded, koutreads
 from taxaspark.operators.krcount import krcount, wide
 from taxaspark.operators.refine import seq_refine
 from taxaspark.sources import sinks
@@ -263,3 +264,54 @@ def test_streams(spark, tmp_path, report):
     q.processAllAvailable()
     q.stop()
     assert {r["taxid"]: r["reads"] for r in spark.table("counts").collect()} == {"2": 3, "1224": 1}
+
+
+def test_gzip_levels_differ(spark, tmp_path):
+    rows = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("x")).coalesce(1)
+    size = {}
+    for level in (1, 9, 12):
+        sinks.write_lines(rows, F.concat("x", F.lit("aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaabcabcabc"), "x"), str(tmp_path / f"l{level}"), level)
+        size[level] = sum(f.stat().st_size for f in (tmp_path / f"l{level}").glob("*.gz"))
+    assert size[1] > size[9] == size[12] > 0
+
+
+def test_last_line_counts_in_file_order(spark, tmp_path, report):
+    lines = [f"C\tr{i}\t{t}\t8\t2:1" for t in ("2", "1224", "1239", "2") for i in range(500)] + ["C\tr7\t1224\t8\t2:1"]
+    (tmp_path / "out.txt").write_text("\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")  # many parts of the file
+        got = {r["read_id"]: r["taxid"] for r in classified(report, read_koutput(spark, str(tmp_path / "out.txt")), None, None).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {f"r{i}": "1224" if i == 7 else "2" for i in range(500)}
+
+
+def test_taxonomy_without_a_match(spark, report, koutput):
+    reads = spark.createDataFrame([], "taxid string, tags string, lca string, seq string, qual string")
+    for run in (
+        lambda strict: kractor_koutput(report, koutput, taxonomy="D__Nothing", strict=strict),
+        lambda strict: classified(report, koutput, ["D__Nothing"], None, strict=strict),
+        lambda strict: krcount(reads, report, taxonomy=["D__Nothing"], strict=strict),
+    ):
+        assert run(False).count() == 0
+        with pytest.raises(ValueError, match="no taxonomic matches"):
+            run(True)
+
+
+def test_paths_of_several_reports(spark):
+    rows = [("a", 5, "9", ["1", "9"]), ("b", 2, "9", ["2", "9"]), ("b", 1, "8", ["8"])]
+    found = taxonomy.closure(spark.createDataFrame(rows, "source string, pos long, taxid string, taxids array<string>"))
+    assert {tuple(r) for r in found.collect()} == {("9", "2"), ("9", "9"), ("8", "8")}
+
+
+def test_string_helpers(spark):
+    row = spark.createDataFrame([("a.b.c 12", ["x1", "y", "x2"])], "t string, xs array<string>")
+    t, xs = F.col("t"), F.col("xs")
+    got = row.select(
+        strings.detect(t, ".", fixed=True), strings.detect(t, "z", negate=True), strings.which(xs, "^x"), strings.subset(xs, "x"), strings.replace(t, ".", "$1", fixed=True), strings.remove(t, r"\."), strings.remove_all(t, ".", fixed=True),
+        strings.extract(t, "([0-9])([0-9])", 2), strings.extract(t, "q"), strings.extract_all(t, "[a-c]"), strings.split(t, ".", fixed=True), strings.count(t, ".", fixed=True), strings.trim(F.lit(" q "), "left"), strings.trim(F.lit(" q "), "right"),
+    ).first()
+    assert list(got) == [True, True, [0, 2], ["x1", "x2"], "a$1b.c 12", "ab.c 12", "abc 12", "2", None, ["a", "b", "c"], ["a", "b", "c 12"], 2, "q ", " q"]
+    with pytest.raises(ValueError):
+        strings.trim(t, "middle")
