@@ -46,6 +46,11 @@ class Scratch:
         """Deletes a table that no later plan reads."""
         _delete(self.spark, df.scratch_path)
 
+    @classmethod
+    def roots(cls) -> set[str]:
+        """The folders of the operators run so far."""
+        return set(cls._open)
+
     @classmethod
     def drop_all(cls, but: set[str] = frozenset()) -> None:
         """Deletes the tables of all operators run so far, but for the folders `but`: their lazy results can't be read any more."""

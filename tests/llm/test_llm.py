@@ -349,8 +349,31 @@ def test_bounds_hold():
     rnd = np.random.default_rng(4)
     q, v = np.floor(rnd.normal(0, 20, (30, 64))), np.floor(rnd.normal(0, 20, (50, 64)))
     exact = q @ v.T
-    coarse, fine = (topk.upper(q, v, n) for n in topk.LEVELS)
-    assert (coarse >= exact).all() and (fine >= exact).all() and fine.mean() < coarse.mean()
+    bounds = [topk.upper(q, v, n) for n in topk.LEVELS]
+    assert all((b >= exact).all() for b in bounds) and bounds[2].mean() < bounds[1].mean() < bounds[0].mean()
+
+
+def brute_search(ints, k=20):
+    return sorted((q, r, i, -s) for q in ints if q % 20 == 0 for r, (s, i) in enumerate(sorted((-int(ints[q] @ v), i) for i, v in ints.items() if i != q)[:k], 1))
+
+
+def test_clusters_are_skipped_whole(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(topk, "VECTOR_BLOCK", 60)
+    rnd = np.random.default_rng(5)
+    centres = rnd.normal(0, 1, (24, 8)).repeat(2, axis=1)
+    rows = [(i, [float(x) for x in centres[i % 24] + rnd.normal(0, 0.05, 16)]) for i in range(1900)]
+    found = topk.Search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    ints = {i: np.floor(np.array(v) * 64).astype(int) for i, v in rows}
+    assert sorted(map(tuple, found.answer().collect())) == brute_search(ints)
+    assert found.meetings.count() < 0.8 * found.vectors.count() * found.queries.count()
+
+
+def test_search_of_odd_tables(spark):
+    rows = [(0, [1.0, 2.0]), (0, [0.5, 2.0]), (0, [0.5, 2.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("extra") for c in ("id", "v", "n", "code", "block", "rank", "score")})
+    got = sorted(map(tuple, topk.search(df).collect()))
+    assert got == [(0, 1, 1, 32 * 64 + 128 * 64), (0, 2, 1, 32 * 64 + 128 * 64), (0, 3, 2, 128 * 64)]  # the least vector of id 0 asks; repeated rows count each
 
 
 # --- 6 ---------------------------------------------------------------------------------------
