@@ -19,7 +19,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component stays; rows of one id are one document."""
+    """One document of each component stays: of the smallest id, and of its texts there the one of the least hash."""
     return NgramJoin(docs).representatives(docs)
 
 
@@ -48,8 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. A stage's tables, and what it read, go as soon as its result is written."""
+    others = Scratch.roots()
     scratch = Scratch(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs = None
     for _, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+        before, docs = docs, scratch.keep(stage(spark, table(spark, sf_dir, "documents") if docs is None else docs, sf_dir))
+        Scratch.drop_all(but=others | {scratch.root})
+        if before is not None:
+            scratch.drop(before)
     return docs
