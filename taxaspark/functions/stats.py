@@ -269,33 +269,57 @@ def cor_tests(rows: DataFrame, keys: list[str], pairs: dict[str, tuple[str, str,
 
 
 def p_adjust(rows: DataFrame, p: str = "pvalue", out: str = "padj", method: str = "BH", within: list[str] | None = None) -> DataFrame:
-    """Adjusts for multiple tests over all rows, or within groups; null p-values stay null and don't count."""
+    """Adjusts for multiple tests over all rows, or within groups; null p-values stay null and don't count.
+
+    Equal p-values have equal results, so distinct ones are ranked, with their numbers. They are dealt to slices of nearly equal
+    logarithm: ranks, and least or greatest values so far, come from within a slice and from the totals of the slices before
+    or behind it, so no task holds more than a slice or the totals (about 10^6 at most) of a group.
+    """
     keys = within or []
-    every = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    n = F.count(p).over(every)
     if method == "none":
         return rows.withColumn(out, F.col(p))
-    if method == "bonferroni":
-        return rows.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * n)))
-    there = rows.withColumn("_n", n).withColumn("_i", F.row_number().over(every.orderBy(F.col(p).asc_nulls_last())))
-    up = every.orderBy(F.col("_i").desc()).rowsBetween(W.unboundedPreceding, 0)
-    down = every.orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
-    if method in ("BH", "fdr"):
-        v = F.min(F.col(p) * F.col("_n") / F.col("_i")).over(up)
-    elif method == "BY":
-        q = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("_n"), F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / i)
-        there = there.withColumn("_q", q)
-        v = F.min(F.col("_q") * F.col(p) * F.col("_n") / F.col("_i")).over(up)
-    elif method == "hochberg":
-        v = F.min(F.col(p) * (F.col("_n") - F.col("_i") + 1)).over(up)
-    elif method == "holm":
-        v = F.max(F.col(p) * (F.col("_n") - F.col("_i") + 1)).over(down)
-    elif method == "hommel":
+    if method == "hommel":
         return _hommel(rows, p, out, keys)
-    else:
+    if method not in ("bonferroni", "BH", "fdr", "BY", "hochberg", "holm"):
         raise ValueError(f"unknown method {method}")
-    adjusted = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), v))
-    return there.withColumn(out, adjusted).drop("_n", "_i", "_q")
+    if "_slice" in rows.columns or "_p" in rows.columns:
+        raise ValueError("columns _slice and _p are used inside")
+    slice_ = F.floor(F.log2(F.greatest(F.col("_p"), F.lit(5e-324))) * 1024).cast("bigint")
+    each = rows.where(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_slice", slice_)
+    totals = each.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_t"))
+    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    earlier, later = group.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1), group.orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.withColumn("_n", F.sum("_t").over(group)).withColumn("_base", F.coalesce(F.sum("_t").over(earlier), F.lit(0))).drop("_t")
+    inner = W.partitionBy(*keys, "_slice")
+    each = _beside(each, totals, [*keys, "_slice"])
+    each = each.withColumn("_upto", F.col("_base") + F.sum("_c").over(inner.orderBy("_p").rowsBetween(W.unboundedPreceding, 0)))
+    n, upto = F.col("_n"), F.col("_upto")
+    value = {
+        "bonferroni": F.col("_p") * n, "BH": F.col("_p") * n / upto, "fdr": F.col("_p") * n / upto, "hochberg": F.col("_p") * (n - upto + 1), "holm": F.col("_p") * (n - upto + F.col("_c")),
+        "BY": F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(1000)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / i) * F.col("_p") * n / upto,
+    }[method]
+    if method == "BY":
+        # beyond 1000 the harmonic sum by its expansion, to 16 digits
+        rest = lambda m: F.log(m) + 1 / (2 * m) - 1 / (12 * m * m)
+        big = F.when(n > 1000, rest(n.cast("double")) - rest(F.lit(1000.0))).otherwise(0.0)
+        value = value + big * F.col("_p") * n / upto
+    each = each.withColumn("_v", value)
+    if method != "bonferroni":
+        up, best = (earlier, F.max) if method == "holm" else (later, F.min)
+        order = F.col("_p").asc() if method == "holm" else F.col("_p").desc()
+        ends = each.groupBy(*keys, "_slice").agg(best("_v").alias("_end")).withColumn("_beyond", best("_end").over(up)).drop("_end")
+        each = _beside(each, ends, [*keys, "_slice"]).withColumn("_v", best("_v").over(inner.orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+        pick = F.greatest if method == "holm" else F.least
+        each = each.withColumn("_v", pick("_v", "_beyond"))
+    each = each.select(*keys, "_p", F.least(F.lit(1.0), F.col("_v")).alias(out))
+    return _beside(rows.withColumn("_p", F.col(p)), each, [*keys, "_p"], "left").drop("_p")
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join on which nulls meet; keeps the left keys."""
+    right = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(right, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def hommel(ps: list[float]) -> list[float]:

@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+from ..sources.shared import new_folder
 
 
 class Views:
@@ -22,10 +13,7 @@ class Views:
         self.spark, self.dir = spark, sf_dir
 
     def folder(self, name: str) -> str:
-        """A new folder in the space that driver and executors share, for a query that writes files and reads them back; it goes when the process ends."""
-        path = f"{shared_folder(self.spark)}/views-{uuid.uuid4().hex}"
-        atexit.register(_delete, self.spark, path)
-        return f"{path}/{name}"
+        return new_folder(self.spark, name)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

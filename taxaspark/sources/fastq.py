@@ -23,6 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schemas import FASTQ
 from ..session import ship
+from .shared import kept
 
 SPLIT_BYTES = 64 << 20
 BATCH = 4096
@@ -184,10 +185,13 @@ def numbered(reads: DataFrame) -> DataFrame:
 
 
 def pair_mates(reads1: DataFrame, reads2: DataFrame) -> DataFrame:
-    """r1 and r2 structs of the records of one number; an error where one side lacks it or the ids differ."""
+    """r1 and r2 structs of the records of one number; an error where one side lacks it or the ids differ.
+
+    Both sides are written to the shared folder first, so each file is parsed once, for its counts and its records.
+    """
     parts = F.struct("id", "desc", "seq", "sep", "qual")
-    a = numbered(reads1).select("record_no", parts.alias("r1"))
-    b = numbered(reads2).select("record_no", parts.alias("r2"))
+    a = numbered(kept(reads1)).select("record_no", parts.alias("r1"))
+    b = numbered(kept(reads2)).select("record_no", parts.alias("r2"))
     met = a.join(b, "record_no", "full_outer")
     return met.select("record_no", checked_pair(F.col("r1"), F.col("r2"), F.col("r1")).alias("r1"), F.col("r2"))
 

@@ -181,3 +181,27 @@ def test_no_local_folder_on_a_cluster(spark):
         else:
             with pytest.raises(ValueError):
                 shared_folder(fake)
+
+
+@pytest.mark.parametrize("method", ["BH", "BY", "holm", "hochberg", "bonferroni"])
+def test_p_adjust_matches_sorting(spark, method):
+    import random
+
+    rnd = random.Random(7)
+    rows = [(g, rnd.choice([None, 0.0, 1.0, 0.05, rnd.random(), rnd.random() ** 8])) for g in ("a", "b", None) for _ in range(60)] + [("c", rnd.random()) for _ in range(1500)]
+    got = stats.p_adjust(spark.createDataFrame(rows, "g string, pvalue double"), method=method, within=["g"]).collect()
+
+    def plain(ps):
+        order = sorted(range(len(ps)), key=lambda i: ps[i])
+        n, out = len(ps), [0.0] * len(ps)
+        q = sum(1 / i for i in range(1, n + 1)) if method == "BY" else 1
+        values = [{"bonferroni": ps[i] * n, "holm": ps[i] * (n - k + 1), "hochberg": ps[i] * (n - k + 1)}.get(method, q * ps[i] * n / k) for k, i in enumerate(order, 1)]
+        for k, i in enumerate(order):
+            out[i] = min(1, max(values[: k + 1]) if method == "holm" else values[k] if method == "bonferroni" else min(values[k:]))
+        return out
+
+    for g in ("a", "b", None, "c"):
+        mine = sorted(((r["pvalue"], r["padj"]) for r in got if r["g"] == g and r["pvalue"] is not None))
+        ps = [p for x, p in rows if x == g and p is not None]
+        assert mine == [(p, pytest.approx(v, rel=1e-9)) for p, v in sorted(zip(ps, plain(ps), strict=True))]
+    assert len(got) == len(rows) and all((r["pvalue"] is None) == (r["padj"] is None) for r in got)
