@@ -260,6 +260,27 @@ def test_language(spark, odd, none):
     assert language.keep_identified(odd, 0.1).columns == odd.columns
 
 
+def test_language_of_held_out_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the driver's tables")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'")
+    right, known = got.where("lang = lang_pred").count(), got.count()
+    common_share = docs.groupBy("lang").count().agg(F.max("count") / F.sum("count")).first()[0]
+    assert known > 100 and right / known > max(0.5, common_share)
+
+
+def test_language_follows_from_the_rows(spark):
+    rows = labelled(120) + [labelled(120)[0]] * 400
+    df = spark.createDataFrame(rows, DOCS)
+    found = []
+    for n in (1, 5):
+        langs, xs, ys = language.sample(df.repartition(n).select("doc_id", "text", "lang"), most=20)
+        found.append((langs, [x[0].tolist() for x in xs], ys.tolist()))
+    assert found[0] == found[1] and max(Counter(found[0][2]).values()) == 20
+
+
 def test_temperature_lowers_loss():
     rnd = np.random.default_rng(0)
     ys = rnd.integers(0, 2, 400)
@@ -322,6 +343,18 @@ def test_best_fit_places_every_piece_once(counts):
     assert sum(b for b, _ in plan) == len(rooms)
 
 
+@given(st.lists(st.one_of(st.text(max_size=40), st.sampled_from(["<s>", "</s>", " the", "\r\n\r\n", "it's", "  \t x", "<|endoftext|>", "1234567", "\u00a0\u3000", "e\u0301", "\U0001f468\u200d\U0001f469"])), max_size=12))
+@settings(max_examples=150, deadline=None)
+def test_ids_are_those_of_the_tokenizers_file(parts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    full = packing._encoders.setdefault("full", None) or Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    packing._encoders["full"] = full
+    text = "".join(parts)
+    assert packing.encoder()(text) == full.encode(text, add_special_tokens=False).ids
+
+
 # --- 5 ---------------------------------------------------------------------------------------
 
 
