@@ -547,6 +547,48 @@ def test_quality(spark, odd, none):
     assert end[1] and end[2] and end[3] and quality.quality_rules(none).count() == 0
 
 
+def plain_verdicts_of_quality(rows):
+    """(id, lang, source, counts) -> kept, from sorted values in bins, blended as the operator says."""
+    log = np.log1p(quality.ACCURACY)
+    ok = lambda c: c["n_words"] >= 50 and 100 * c["n_repeat_words"] <= 50 * c["n_words"]
+    ratio = lambda c, k: c[quality.RATIOS[k][0]] / max(1, c[quality.RATIOS[k][1]])
+    binned = lambda x: 0.0 if x <= 0 else float(np.exp((np.ceil(np.log(x) / log) - 0.5) * log))
+
+    def quartiles(group, k):
+        values = sorted(binned(ratio(c, k)) for c in group)
+        at = lambda q: next((v for i, v in enumerate(values, 1) if i >= len(values) * q), 0.0)
+        return np.array([at(0.25), at(0.75)]), len(values)
+
+    blend = lambda own, n, whole: (own * n + whole * quality.PRIOR) / (n + quality.PRIOR)
+    sound = [(lang, source, c) for _, lang, source, c in rows if ok(c)]
+    out = {}
+    for i, lang, source, c in rows:
+        kept = ok(c)
+        for k, (_, _, far) in quality.RATIOS.items():
+            if kept:
+                corpus, _ = quartiles([x for _, _, x in sound], k)
+                whole, n = quartiles([x for a, _, x in sound if a == lang], k)
+                own, m = quartiles([x for a, b, x in sound if (a, b) == (lang, source)], k)
+                q1, q3 = blend(own, m, blend(whole, n, corpus))
+                reach = max(far, quality.SPREAD * (q3 - q1))
+                kept = q1 - reach <= ratio(c, k) <= q3 + reach
+        out[i] = bool(kept)
+    return out
+
+
+def test_quality_verdicts_match_plain_version(spark):
+    """A small source of its own kind stays beside a hot one that is unlike it, and its outlier goes."""
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    rows = [(i, " ".join(word(rnd.randint(3, 6)) for _ in range(60)), "en", "hot", 1) for i in range(160)]
+    rows += [(500 + i, " ".join(word(rnd.randint(18, 22)) for _ in range(60)), "en", "formal", 1) for i in range(90)]
+    rows += [(800, " ".join(word(60) for _ in range(60)), "en", "formal", 1), (801, "# " * 90 + rows[0][1], "en", "hot", 1), (802, rows[5][1], None, "new", 1), (803, rows[501 - 500 + 160][1], "de", None, 1)]
+    got = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows, DOCS)).collect()}
+    counted = [(i, lang, source, dict(zip(quality._COUNTS, brute.quality_counts(text), strict=True))) for i, text, lang, source, _ in rows]
+    assert {i: r["kept"] for i, r in got.items()} == plain_verdicts_of_quality(counted)
+    assert all(got[500 + i]["kept"] for i in range(90)) and all(got[i]["kept"] for i in range(160)) and not got[800]["kept"] and not got[801]["kept"]
+
+
 def test_sketches_merge(spark):
     rows = [(i, 10 + i % 50, 50 + i, i % 7, 9, i % 3, i % 4, "en", "ab"[i % 2]) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, lang string, source string")
