@@ -45,6 +45,8 @@ SHARD_WORDS = 1_000_000
 BATCH, RATE = 3072, 0.3
 #: Groups in which shards' weights are added up, and what a worker collects before it sends word counts.
 GROUPS, HELD = 8, 1 << 20
+#: Tasks of a training round at most.
+TASKS = 20_000
 _ABSENT = -30.0
 _SHIFTS = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 
@@ -328,7 +330,8 @@ def train(encoded: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, shard_wo
             if total is not None:
                 yield out()
 
-        dealt = rows.where(F.col("_shard") % rounds == k).repartition("_shard").sortWithinPartitions("_shard", "_key")
+        # a number of tasks by the shards, which cost time and not bytes: small tasks aren't put together again
+        dealt = rows.where(F.col("_shard") % rounds == k).repartition(min(shards // rounds, TASKS), "_shard").sortWithinPartitions("_shard", "_key")
         trained = dealt.mapInArrow(learn, "shard bigint, w binary, n bigint").withColumn("g", F.pmod(F.floor(F.col("shard") / rounds), F.lit(GROUPS)))
         sums = trained.repartition(GROUPS, "g").sortWithinPartitions("g", "shard").mapInArrow(add, "g bigint, w binary, n bigint").collect()  # GROUPS rows at most
         n = sum(r["n"] for r in sums)

@@ -54,6 +54,8 @@ LIMIT = 8
 PIVOTS, PIVOT_ABOVE, BLOCK = 2, 64, 1024
 #: Shingles of a block in which a component's links are counted, and columns that are multiplied at once.
 BLOCK_SHINGLES, COLUMNS = 1 << 18, 4096
+#: A shingle whose pairs are more than a share of 1 / DENSE of a meeting's is a column of a product.
+DENSE = 64
 #: Ids of needed texts are broadcast up to this many (8 bytes each); above, they are joined by shuffle.
 FEW_IDS = 1_000_000
 U64 = np.uint64
@@ -371,6 +373,21 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch
         yield held
 
 
+def _pairs(sides: list[tuple[np.ndarray, np.ndarray]], shape: tuple[int, int], most: int = 1 << 22) -> np.ndarray:
+    """How many columns each pair of rows shares, from the (columns, rows) of both sides, sorted by column."""
+    (ca, ra), (cb, rb) = sides
+    low, high = np.searchsorted(cb, ca, "left"), np.searchsorted(cb, ca, "right")
+    out, ends = np.zeros(shape[0] * shape[1]), np.cumsum(high - low)
+    x = 0
+    while x < len(ca):
+        y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + most, "right")))
+        n = (high - low)[x:y]
+        begin = np.repeat(low[x:y] - (np.cumsum(n) - n), n)
+        out += np.bincount(np.repeat(ra[x:y], n) * shape[1] + rb[begin + np.arange(len(begin))], minlength=len(out))
+        x = y
+    return out.reshape(shape)
+
+
 def _count_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """For each class of a meeting, the documents across that it links with; by the exact sizes of all intersections."""
     for parts in _meetings(batches):
@@ -385,18 +402,25 @@ def _count_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
         order = np.argsort(column, kind="stable")
         column, row = column[order], row[order]
         first, second = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        place = np.zeros((2, len(sets)), np.int64) - 1
-        place[0, first], place[1, second] = np.arange(len(first)), np.arange(len(second))
         common = np.zeros((len(first), len(second)))
-        for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-            x, y = np.searchsorted(column, [a, a + COLUMNS])
-            sides = []
-            for k, count in enumerate((len(first), len(second))):
-                at = place[k, row[x:y]]
-                dense = np.zeros((count, min(COLUMNS, int(column[y - 1]) - a + 1)), "f4")
-                dense[at[at >= 0], column[x:y][at >= 0] - a] = 1
-                sides.append(dense)
-            common += sides[0] @ sides[1].T
+        if len(column):
+            place = np.full((2, len(sets)), -1)
+            place[0, first], place[1, second] = np.arange(len(first)), np.arange(len(second))
+            at = place[:, row]
+            held = np.stack([np.bincount(column, x >= 0, int(column[-1]) + 1) for x in at])
+            # a shingle that few hold is added pair by pair, one that many hold as a column of a product
+            dense = (held[0] * held[1] * DENSE > common.size)[column]
+            common += _pairs([(column[(x >= 0) & ~dense], x[(x >= 0) & ~dense]) for x in at], common.shape)
+            _, compact = np.unique(column[dense], return_inverse=True)
+            for c in range(0, int(compact.max(initial=-1)) + 1, COLUMNS):
+                x, y = np.searchsorted(compact, [c, c + COLUMNS])
+                sides = []
+                for k, count in enumerate(common.shape):
+                    rows = at[k][dense][x:y]
+                    matrix = np.zeros((count, int(compact[y - 1]) - c + 1), "f4")
+                    matrix[rows[rows >= 0], compact[x:y][rows >= 0] - c] = 1
+                    sides.append(matrix)
+                common += sides[0] @ sides[1].T
         link = common * 100 >= (size[first][:, None] + size[second][None, :] - common) * percent
         link &= first[:, None] != second[None, :]
         ids, degree = sid[first], link @ copies[second]

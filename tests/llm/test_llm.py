@@ -111,8 +111,9 @@ def test_links_are_counted_alike_in_any_chunks(monkeypatch):
             batch = batch.set_column(3, "side", pa.array(np.full(40, 2)))
         linked = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
         want = {i: sum(1 + j % 3 for j in range(40) if i != j and (whole or side[i] != side[j]) and linked(i, j)) for i in range(40)}
-        for columns in (7, 4096):
+        for columns, dense in ((7, 64), (4096, 64), (4096, 0), (11, 1e9), (4096, 2)):
             monkeypatch.setattr(ngram_join, "COLUMNS", columns)
+            monkeypatch.setattr(ngram_join, "DENSE", dense)
             got = [b.to_pydict() for b in ngram_join._count_links(iter([batch]), 80)]
             assert dict(zip(got[0]["sid"], got[0]["degree"], strict=True)) == want
         assert any(want.values())
