@@ -323,7 +323,7 @@ def slsd_corr(v: Views) -> DataFrame:
 
 #: Coefficients and p-values of the sample test, before rounding.
 _SLSD_P = _SLSD.rstrip() + """, coef AS (SELECT taxid, corr(x, y) AS r1, corr(x, z) AS r2, corr(z, y) AS r3, CAST(count(*) AS BIGINT) AS n, count(DISTINCT x) AS dx, count(DISTINCT y) AS dy, count(DISTINCT z) AS dz FROM ranked GROUP BY taxid),
-tested AS (SELECT taxid, r1, r2, r3, """ + ", ".join(f"{_rho_p(r, 'n', t)} AS {p}" for r, t, p in (("r1", "least(dx, dy) < n", "p1"), ("r2", "least(dx, dz) < n", "p2"), ("r3", "least(dz, dy) < n", "p3"))) + " FROM coef)\n"
+tested AS (SELECT taxid, """ + ", ".join(f"CASE WHEN isfinite({r}) THEN {r} END AS {r}" for r in ("r1", "r2", "r3")) + ", " + ", ".join(f"CASE WHEN isfinite({r}) THEN {_rho_p(r, 'n', t)} END AS {p}" for r, t, p in (("r1", "least(dx, dy) < n", "p1"), ("r2", "least(dx, dz) < n", "p2"), ("r3", "least(dz, dy) < n", "p3"))) + " FROM coef)\n"
 
 
 @query(_SLSD_P + "SELECT taxid, taxid AS taxa, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("r1", "r2", "r3", "p1", "p2", "p3")) + " FROM tested")

@@ -29,13 +29,15 @@ def test_entry_without_the_corpus_operators(tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["clade_reads", "koutreads_join", "krcount_tables", "fastq_pairs", "koutput_last_line", "koutreads_paired", "kreport_file", "stream_counts", "argument_rules", "slsd", "denoise_counts"])
+@pytest.mark.parametrize("name", ["clade_reads", "koutreads_join", "krcount_tables", "fastq_pairs", "koutput_last_line", "koutreads_paired", "kreport_file", "stream_counts", "argument_rules", "slsd", "blsd", "denoise_counts"])
 def test_queries_match_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for f in os.listdir(DATA):
-        con.execute(f"create view {f.split('.')[0]} as select * from '{DATA}/{f}'")
-    got, want = entry.queries()[name](spark, DATA).toPandas(), con.sql(entry.oracle_sql()[name]).df()
+    # SQL has no p-values of exact tests, which samples of 9 and fewer without ties take
+    folder = DATA.replace("0.001", "0.01") if name in ("slsd", "blsd", "denoise_counts") else DATA
+    for f in os.listdir(folder):
+        con.execute(f"create view {f.split('.')[0]} as select * from '{folder}/{f}'")
+    got, want = entry.queries()[name](spark, folder).toPandas(), con.sql(entry.oracle_sql()[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     rows = lambda df: sorted(map(str, df[columns].astype(object).where(df[columns].notna(), None).itertuples(index=False, name=None)))
